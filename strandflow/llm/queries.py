@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .media import media_digest
+from .mixing import plan_mix
 from .ngram_join import link_components
+from .sharding import plan_shards
+from .token_output import token_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +24,36 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "n_shingles", "component_id", "explode(sequence(1L, copies)) AS copy").drop("copy")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by proportional stratified interleaving (law ``rows``)."""
+    return plan_shards(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in wavelet-matrix shard files, read back."""
+    import public_tokenizers
+
+    return token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as media, read back, sniffed and digested."""
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, in blocks of 32 words."""
+    plan = plan_mix(_table(spark, sf_dir, "documents"), block=32)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["upto"] - p["from"])
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op4_token_output": op4_token_output,
+    "op5_media_columns": op5_media_columns,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
