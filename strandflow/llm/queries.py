@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_leaks
 from .media import media_digest
 from .mixing import plan_mix
 from .ngram_join import link_components
 from .sharding import plan_shards
 from .token_output import token_index
+from .toxicity import score_documents, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_shards(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document contains, with their edit distance."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in wavelet-matrix shard files, read back."""
     import public_tokenizers
@@ -48,12 +55,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, from a machine that learnt on the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_token_output": op4_token_output,
     "op5_media_columns": op5_media_columns,
     "op8_mixing": op8_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
