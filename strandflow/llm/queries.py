@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import COLLAPSE_SQL, collapse_snapshots
 from .decontamination import find_leaks
+from .licenses import scan_licenses
 from .media import media_digest
 from .mixing import plan_mix
 from .ngram_join import link_components
+from .repeats import remove_repeats
 from .sharding import plan_shards
 from .token_output import token_index
 from .toxicity import score_documents, train
@@ -48,6 +51,16 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a repeated string of 400 bytes covers."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return collapse_snapshots(_table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, in blocks of 32 words."""
     plan = plan_mix(_table(spark, sf_dir, "documents"), block=32)
@@ -55,6 +68,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, from a machine that learnt on the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,8 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_token_output": op4_token_output,
     "op5_media_columns": op5_media_columns,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing": op8_mixing,
+    "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": COLLAPSE_SQL}
