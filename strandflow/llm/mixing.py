@@ -70,7 +70,8 @@ def plan_mix(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int
     placed = running(rows, ["source"], "b", ["h", "doc_id", "size", "th"], F.col("size"), "at")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
 
-    drawn = _draw(targets, block, slots, seed)
+    # A row of the draw becomes up to ``slots`` rows: spread them first, and never take them for a small table.
+    drawn = ws.table(_draw(targets, block, slots, seed), "draw").repartition("source", "shard")
     taken = (
         drawn.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
         .withColumn("k", F.col("first") + F.col("i"))
@@ -81,7 +82,7 @@ def plan_mix(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int
     uses = taken.groupBy("source", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes"))  # MOST entries at most
 
     spans = placed.where("size > 0").select("source", "doc_id", "th", "h", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
-    hit = spans.join(uses.withColumnRenamed("source", "s").withColumnRenamed("block", "u"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("u")))
+    hit = spans.join(uses.withColumnRenamed("source", "s").withColumnRenamed("block", "u").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("u")))
     piece = hit.select(
         "source", "h", "at",
         F.explode("passes").alias("pass"),
@@ -93,7 +94,7 @@ def plan_mix(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int
     targets = targets.select(F.col("source").alias("_t"), "source_size", "target")
     out = placed.join(targets, F.col("source").eqNullSafe(F.col("_t")))
     # Documents without words share their place with the next one and take nothing.
-    out = out.join(pieces, F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
+    out = out.join(pieces.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
     none = F.array().cast("array<struct<pass:bigint,from:bigint,upto:bigint>>")
     return ws.finish(out.select("doc_id", "th", "size", "source", "source_size", "target", "at", F.coalesce("pieces", none).alias("pieces")))
 
