@@ -29,7 +29,7 @@ LENGTH, GRAM, RUN = 400, 64, 128
 #: Window starts of a text looked at together.
 SEGMENT = 1 << 20
 #: Runs folded at once by a reducer; stretches sorted at once.
-FOLD, SORT_BYTES = 1_500_000, 24_000_000
+FOLD, SORT_BYTES = 1_500_000, 8_000_000
 #: Stretches kept for one key when a key has more of them than one sort takes.
 HOT = 20_000
 #: Decided runs that are broadcast at most, with their texts' hashes; beyond that texts and runs meet by shuffle.
@@ -96,7 +96,7 @@ def _runs_pass(parts: int):
     return run
 
 
-_FOUND = ["th", "first", "starts", "key", "decided"]
+_FOUND = ["th", "first", "starts", "key", "whole", "decided"]
 
 
 def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +130,8 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.concatenate(([True], one[1:, 0] != one[:-1, 0])))
         rank = np.arange(len(one)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(one)]))))
         kept = one[rank < 4]
-        signed = found[:, [4, 2, 3, 0]].astype(_U64).view(np.int64)
-        return pa.record_batch([*(pa.array(np.ascontiguousarray(signed[:, c])) for c in range(4)), pa.array(found[:, 5] == 2)], names=_FOUND)
+        signed = found[:, [4, 2, 3, 0, 1]].astype(_U64).view(np.int64)
+        return pa.record_batch([*(pa.array(np.ascontiguousarray(signed[:, c])) for c in range(5)), pa.array(found[:, 5] == 2)], names=_FOUND)
 
     for batch in it:
         for blob in batch.column("runs").to_pylist():
@@ -143,10 +143,11 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fold()
 
 
-def repeated_windows(stretches: list[bytes], starts: list[int]) -> list[np.ndarray]:
+def repeated_windows(stretches: list[bytes], starts: list[int], keys: list[int] | None = None) -> list[np.ndarray]:
     """For each stretch a flag for each of its first ``starts`` windows: does an equal window stand at another place?
 
-    Depth-limited most-significant-digit radix sort of all windows.
+    Depth-limited most-significant-digit radix sort of all windows; with ``keys`` (ascending, one a stretch) windows of
+    unequal key start in unequal groups.
     """
     buf = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8)
     digit = np.zeros(len(buf) - 8 + 1, _U64)
@@ -155,7 +156,7 @@ def repeated_windows(stretches: list[bytes], starts: list[int]) -> list[np.ndarr
     counts = np.array(starts, np.int64)
     begin = np.concatenate(([0], np.cumsum([len(s) for s in stretches])))[:-1]
     place = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at, group = place, np.zeros(len(place), np.int64)
+    at, group = place, np.repeat(np.zeros(len(counts), np.int64) if keys is None else np.array(keys, np.int64), counts)
     for depth in range(0, LENGTH, 8):
         if not len(at):
             break
@@ -180,18 +181,30 @@ def repeated_windows(stretches: list[bytes], starts: list[int]) -> list[np.ndarr
     return [left[b : b + n] for b, n in zip(begin.tolist(), starts, strict=True)]
 
 
-def _sort_key(table: pa.Table) -> pa.Table:
-    """One key's stretches; repeated rows of a text come once."""
-    where = list(zip(table.column("th").to_pylist(), table.column("first").to_pylist(), strict=True))
-    once = list({w: i for i, w in enumerate(where)}.values())
-    texts, starts = table.column("stretch").to_pylist(), table.column("starts").to_pylist()
-    flags = repeated_windows([texts[i] for i in once], [starts[i] for i in once])
-    out = []
-    for i, f in zip(once, flags, strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], f, [False])).astype(np.int8)))
-        out += [(where[i][0], where[i][1] + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-    cols = list(zip(*out, strict=True)) if out else [[], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["th", "first", "starts"])
+def _sort_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches in order of key, many whole keys to a sort; repeated rows of a text come once."""
+    held: list[tuple] = []
+    size = 0
+
+    def sort(rows: list[tuple]) -> pa.RecordBatch:
+        flags = repeated_windows([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows])
+        out = []
+        for (_, th, first, _, _), f in zip(rows, flags, strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], f, [False])).astype(np.int8))).tolist()
+            out += [(th, first + a, b - a) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["th", "first", "starts"])
+
+    for batch in it:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "first", "starts", "stretch")), strict=True):
+            if held and row[0] != held[-1][0] and size >= SORT_BYTES:
+                yield sort(held)
+                held, size = [], 0
+            if not held or row[:3] != held[-1][:3]:
+                held.append(row)
+                size += len(row[4])
+    if held:
+        yield sort(held)
 
 
 def _cut_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +260,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long = text.where(F.octet_length("text") >= LENGTH)
     twice = ws.table(long.groupBy("th").count().where("count > 1").select("th"), "twice")
     runs = long.select("th", "text").mapInArrow(_runs_pass(parts), "part int, runs binary")
-    found = ws.table(runs.repartition("part").mapInArrow(_fold, "th long, first long, starts long, key long, decided boolean"), "found")
-    found = found.groupBy("th", "first", "starts", "key").agg(F.max("decided").alias("decided"))
+    found = ws.table(runs.repartition("part").mapInArrow(_fold, "th long, first long, starts long, key long, whole long, decided boolean"), "found")
+    found = found.groupBy("th", "first", "starts", "key", "whole").agg(F.max("decided").alias("decided"))
     found = ws.table(found, "runs")
 
     open_runs = found.where("not decided")
-    # Decided runs of such a key may hold equal windows too, so all stretches of the key meet.
-    keys = open_runs.groupBy("key").agg(F.count("*").alias("opened")).join(found.groupBy("key").agg(F.count("*").alias("many")), "key").drop("opened")
-    needed = found.join(keys, "key")
+    # Decided runs of such a key may hold equal windows too; of equal stretches one stands for all.
+    one = found.where("decided").join(open_runs.select("key").distinct(), "key").groupBy("key", "whole").agg(F.min(F.struct("th", "first", "starts")).alias("one"))
+    needed = ws.table(open_runs.select("key", "th", "first", "starts").union(one.select("key", "one.*")), "needed")
+    keys = needed.groupBy("key").agg(F.count("*").alias("many"))
     wanted = needed.groupBy("th").agg(F.collect_list(F.struct("first", "starts", "key")).alias("runs"))  # as many as the text is long
     cut = _with_runs(long.select("th", "text"), wanted, needed, "th").mapInArrow(_cut_stretches, "th long, first long, starts long, key long, stretch binary")
     cut = cut.join(keys, "key")
-    usual = cut.where(f"many <= {HOT}").groupBy("key").applyInArrow(_sort_key, "th long, first long, starts long")
+    usual = cut.where(f"many <= {HOT}").repartition("key").sortWithinPartitions("key", "th", "first").mapInArrow(_sort_keys, "th long, first long, starts long")
     found_open = usual.union(_hot_windows(cut.where(f"many > {HOT}")))
     decided = found.where("decided").select("th", "first", "starts").union(found_open)
     decided = ws.table(decided.distinct(), "decided")
