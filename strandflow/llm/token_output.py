@@ -8,6 +8,7 @@ repeated tasks leave at most unused files.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from .wavelet import WaveletMatrix, build
 from .workspace import Workspace
 
 #: Entries of the younger half of a worker's memo of encoded words.
-MEMO = 400_000
+MEMO = 700_000
 _TAIL = b".,!?;:"
 
 
@@ -43,37 +44,68 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # Tokens that end a word, if the vocabulary marks them: then many words can be encoded as one text and told apart.
+        model = json.loads(self._tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
-    def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in chunk:  # special tokens are matched as they are written
+    @staticmethod
+    def _parts(chunk: bytes) -> tuple[bytes, bytes]:
+        cut = chunk.rstrip(_TAIL)
+        if len(cut) == len(chunk) or not cut or b"<|" in chunk:
             return chunk, b""
-        base = chunk.lower() if chunk.isascii() else chunk
-        cut = base.rstrip(_TAIL)
-        if cut and len(cut) < len(base):
-            last = chr(cut[-1]) if cut[-1] < 0x80 else cut.decode()[-1]
-            if last < "ɐ" and unicodedata.category(last.lower()[-1])[0] in "LN":
-                return cut, base[len(cut) :]
-        return base, b""
+        last = cut[-1]
+        if last >= 0x80:
+            char = cut.decode()[-1]
+            plain = char < "ɐ" and unicodedata.category(char.lower()[-1])[0] in "LN"
+        else:
+            plain = cut[-1:].isalnum()
+        return (cut, chunk[len(cut) :]) if plain else (chunk, b"")
+
+    def _encode(self, parts: list[bytes]) -> None:
+        """Encodes parts by the library: words of letters a thousand at once, the others one by one."""
+        letters: list[bytes] = []
+        others: list[bytes] = []
+        for p in parts:
+            if p.isalpha():
+                letters.append(p)
+            else:
+                text = p.decode()
+                (letters if text.isalpha() and max(text) < "ɐ" and "\u0130" not in text else others).append(p)
+        if not self._ends.any():
+            letters, others = [], parts
+        lots = [letters[i : i + 1000] for i in range(0, len(letters), 1000)]
+        coded = self._tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lots] + [p.decode() for p in others], add_special_tokens=False)
+        for lot, e in zip(lots, coded, strict=False):
+            ids = np.array(e.ids, np.uint32)
+            buf = ids.tobytes()
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            self._new.update(zip(lot, (buf[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for p, e in zip(others, coded[len(lots) :], strict=True):
+            self._new[p] = np.array(e.ids, np.uint32).tobytes()
 
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self._new) > MEMO:
             self._old, self._new = self._new, {}
-        lost = {c for c in chunks if c not in self._new}
-        for c in [c for c in lost if c in self._old]:
-            self._new[c] = self._old[c]
-            lost.discard(c)
+        lost = chunks.difference(self._new)
+        known = lost.intersection(self._old)
+        self._new.update((c, self._old[c]) for c in known)
+        lost -= known
         parts = {c: self._parts(c) for c in lost}
-        need = [p for p in {p for both in parts.values() for p in both if p} if p not in self._new]
-        for p, e in zip(need, self._tokenizer.encode_batch_fast([p.decode() for p in need], add_special_tokens=False), strict=True):
-            self._new[p] = np.array(e.ids, np.uint32).tobytes()
-        for c, (base, tail) in parts.items():
-            self._new[c] = self._new[base] + (self._new[tail] if tail else b"")
+        self._encode(list({p for both in parts.values() for p in both if p}.difference(self._new)))
+        self._new.update((c, self._new[base] + self._new[tail]) for c, (base, tail) in parts.items() if tail)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
+        """For each text its ids as little-endian unsigned 32-bit integers.
+
+        The tokenizer folds case itself; folding A-Z first makes fewer distinct chunks.  It changes nothing unless a combining mark
+        (lead bytes CC and CD) makes one character of a letter and itself, or a special token is spelt in the text.
+        """
+        split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
         self._learn(set().union(*split))
         get = self._new.__getitem__
         return [b"".join(map(get, words)) for words in split]
