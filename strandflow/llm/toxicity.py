@@ -32,7 +32,7 @@ DECAY, SPAN = 0.7, 6
 #: Longest stretch of a word scored at once; longer words are scored in overlapping stretches.
 STRETCH = 32
 #: Labelled documents that the machine is fitted on at most (all learning rows if fewer).
-SAMPLE = 5000
+SAMPLE = 3000
 LANDMARKS, CLEAN_WORDS, ROUNDS = 192, 6000, 2
 _LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _SPLIT = re.compile(r"\S+")
@@ -191,6 +191,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+def _grams(word: str) -> set[str]:
+    """The word and its stretches of four characters, its edges marked."""
+    p = f"^{word}$"
+    return {p[i : i + 4] for i in range(len(p) - 3)} | {word}
+
+
 def fit(words: list[list[str]], toxic: list[int]) -> Model:
     """A model from the word sets of labelled documents; without both labels it gives every text their share."""
     y = np.array(toxic, np.float64)
@@ -199,20 +205,17 @@ def fit(words: list[list[str]], toxic: list[int]) -> Model:
         return Model(np.zeros(1 << 18), 0.0, 1e-3, math.log(share / (1 - share)))
     seen = (Counter(), Counter())
     grams = (Counter(), Counter())
-    in_gram: dict[str, set[str]] = {}
     for ws, t in zip(words, toxic, strict=True):
         seen[t].update(ws)
-        mine: set[str] = set()
-        for w in ws:
-            if w not in in_gram:
-                p = f"^{w}$"
-                in_gram[w] = {p[i : i + 4] for i in range(len(p) - 3)} | {w}
-            mine |= in_gram[w]
-        grams[t].update(mine)
+    for t in (1, 0):  # of the clean documents' grams only those that toxic documents hold
+        for ws, own in zip(words, toxic, strict=True):
+            if own == t:
+                mine = {g for w in ws for g in _grams(w)}
+                grams[t].update(mine if t else mine & grams[1].keys())
     bad, good = sum(toxic), len(toxic) - sum(toxic)
     odds = {g: math.log((n + 0.2) / (bad + 1)) - math.log((grams[0][g] + 0.2) / (good + 1)) for g, n in grams[1].items()}
     # A gram counts by its log odds times the (log) number of toxic documents that hold it.
-    first = {w: max(odds[g] * math.log1p(grams[1][g]) for g in in_gram[w]) for w in seen[1]}
+    first = {w: max(odds[g] * math.log1p(grams[1][g]) for g in _grams(w)) for w in seen[1]}
     clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
     step = max(1, len(clean) // CLEAN_WORDS)
     clean = clean[:2000] + clean[2000::step]
@@ -287,7 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
             yield pa.record_batch([batch.column("label_id"), batch.column("toxic"), pa.array([sorted(words_of(t.decode())) for t in texts], pa.list_(pa.string()))], names=["id", "toxic", "words"])
 
     got = rows.mapInArrow(run, "id long, toxic int, words array<string>").dropDuplicates(["id"]).toArrow().sort_by("id")
-    return fit(got.column("words").to_pylist(), got.column("toxic").to_pylist())
+    pool: dict[str, str] = {}  # one object for equal words
+    words = [[pool.setdefault(w, w) for w in row.as_py()] for row in got.column("words")]
+    return fit(words, got.column("toxic").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
