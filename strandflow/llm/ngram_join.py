@@ -146,7 +146,7 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([nulls, nulls, nulls, nulls, nulls, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_FOLDED)
 
     for batch in it:
-        whole = batch.filter(pa.compute.is_valid(batch.column("n")))
+        whole = batch.filter(batch.column("n").is_valid())
         if whole.num_rows:
             nulls = pa.nulls(whole.num_rows, pa.int64())
             yield pa.record_batch([*(whole.column(c) for c in _HASHED[1:6]), nulls, nulls], names=_FOLDED)
