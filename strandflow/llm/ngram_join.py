@@ -7,8 +7,9 @@
    range's content is hashed to a key.  Keys travel as packed arrays, one row a batch and
    partition, and the reducer folds them in blocks: it keeps one set a key, so a key that a
    third of all sets have takes no more memory than any other.
-2. Sets that share a key, directly or through others, form a candidate group; no link
-   leaves its group.
+2. Within a slot, sets that share a key, directly or through others, form a candidate group; every
+   link lies inside a group of the slot of its larger set.  Keys of empty ranges would join most sets, so
+   there are enough ranges that nearly every set fills more than d and needs none.
 3. In each group a signature tree (``sigtree``) finds the links exactly.  Groups above a
    block's size are cut into blocks, and pairs of blocks are traversed against each other.
 """
@@ -28,9 +29,9 @@ from .sigtree import SignatureTree
 from .workspace import Workspace, bounded_broadcast, column_name
 
 #: Size slots grow by this factor.
-SLOT = 1.4
-#: Ranges beyond the d+1 that are needed, so that empty ranges need no key of their own.
-SPARE = 2
+SLOT = 1.2
+#: Ranges beyond the d+1 that are needed, and their share of these, so that empty ranges need no key of their own.
+SPARE, STRETCH = 3, 0.15
 #: Bytes of text hashed at once.
 BATCH = 2_000_000
 #: Keys folded at once by a reducer.
@@ -62,15 +63,19 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = BATCH) -> Ite
 
 
 def range_keys(s: np.ndarray, slot: int, d: int) -> np.ndarray:
-    """Keys of the ranges of a sorted set; equal content of a range gives equal keys."""
-    m = d + 1 + SPARE
+    """Keys of the ranges of a sorted set, the slot in the low byte; equal content of a range gives equal keys.
+
+    Two sets with at most ``d`` differences agree in ``m - d`` ranges: a set with fewer empty ones needs no key for these.
+    """
+    m = d + 1 + SPARE + int(STRETCH * (d + 1))
     edges = ((np.arange(1, m, dtype=_U64) << _U64(32)) + _U64(m - 1)) // _U64(m) << _U64(32)
     at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
     sums = np.concatenate((np.zeros(1, _U64), np.cumsum(mix(s ^ _U64(0xA24BAED4963EE407)), dtype=_U64)))
     count = np.diff(at)
     keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=_U64) + _U64(slot << 40)))
+    keys = keys & ~_U64(255) | _U64(slot)
     full = count > 0
-    return keys if m - int(full.sum()) > SPARE else keys[full]
+    return keys if int(full.sum()) <= d else keys[full]
 
 
 def _hash_pass(k: int, num: int, den: int, parts: int):
@@ -123,7 +128,7 @@ _HASHED = ["part", "doc_id", "th", "n", "sig", "sig2", "keys", "members"]
 
 
 def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents pass; of the keys come edges (a, b) from each set to the first set seen with its key."""
+    """Rows of documents pass; of the keys come edges (a, b, slot) from each set to the first set seen with its key."""
     seen_key, seen_set = np.zeros(0, _U64), np.zeros(0, np.int64)
     keys: list[np.ndarray] = []
     sets: list[np.ndarray] = []
@@ -141,15 +146,15 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen_key, seen_set = key[new], own[new]
         first = seen_set[np.cumsum(new) - 1] if len(key) else own
         off = own != first
-        pairs = np.unique(np.stack((own[off], first[off]), axis=1), axis=0)
+        pairs = np.unique(np.stack((own[off], first[off], (key[off] & _U64(255)).astype(np.int64)), axis=1), axis=0)
         nulls = pa.nulls(len(pairs), pa.int64())
-        return pa.record_batch([nulls, nulls, nulls, nulls, nulls, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_FOLDED)
+        return pa.record_batch([nulls, nulls, nulls, nulls, nulls, *map(pa.array, pairs.T.copy())], names=_FOLDED)
 
     for batch in it:
         whole = batch.filter(batch.column("n").is_valid())
         if whole.num_rows:
             nulls = pa.nulls(whole.num_rows, pa.int64())
-            yield pa.record_batch([*(whole.column(c) for c in _HASHED[1:6]), nulls, nulls], names=_FOLDED)
+            yield pa.record_batch([*(whole.column(c) for c in _HASHED[1:6]), nulls, nulls, nulls], names=_FOLDED)
         for key, own in zip(batch.column("keys"), batch.column("members"), strict=True):
             if key.is_valid:
                 keys.append(np.frombuffer(key.as_buffer(), _U64).copy())
@@ -161,15 +166,15 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fold()
 
 
-_FOLDED = ["doc_id", "th", "n", "sig", "sig2", "a", "b"]
-_FOLDED_TYPE = "doc_id long, th long, n long, sig long, sig2 long, a long, b long"
+_FOLDED = ["doc_id", "th", "n", "sig", "sig2", "a", "b", "slot"]
+_FOLDED_TYPE = ", ".join(f"{c} long" for c in _FOLDED)
 
 
 def _shingle_pass(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, "text"):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())
-            yield pa.record_batch([batch.column("group"), batch.column("sig"), batch.column("n"), batch.column("blocks"), sets], names=["group", "sig", "n", "blocks", "tokens"])
+            yield pa.record_batch([batch.column("sig"), batch.column("n"), batch.column("groups"), sets], names=["sig", "n", "groups", "tokens"])
 
     return run
 
@@ -208,7 +213,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     hashed = text.mapInArrow(_hash_pass(k, num, den, parts), "part int, doc_id long, th long, n long, sig long, sig2 long, keys binary, members binary")
     folded = ws.table(hashed.repartition("part").mapInArrow(_fold, _FOLDED_TYPE), "folded")
     rows = folded.where("n is not null")
-    edges = folded.where("a is not null").select("a", "b").distinct().checkpoint()
+    edges = folded.where("a is not null").select("a", "b", "slot").distinct().checkpoint()
     links = _links(text, rows, edges, k, num, den, ws) if not edges.isEmpty() else None
 
     per = rows.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.count("*").alias("copies"))
@@ -226,15 +231,21 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
     """(node, root) over the hashes of sets that link with a different set."""
-    group = components(edges)
-    member = rows.where("n > 0").join(bounded_broadcast(group), F.col("sig") == group.node).groupBy("sig", F.col("root").alias("group")).agg(F.min(F.struct("th", "doc_id")).alias("at"), F.first("n").alias("n"))
+    node = lambda c: F.xxhash64(c, "slot")
+    ends = edges.select(F.col("a").alias("sig"), node("a").alias("node")).union(edges.select(F.col("b").alias("sig"), node("b").alias("node"))).distinct()
+    group = components(edges.select(node("a").alias("a"), node("b").alias("b"))).withColumnRenamed("root", "group")
+    inside = ws.table(ends.join(group, "node").select("sig", "group"), "groups")
+    member = rows.where("n > 0").join(bounded_broadcast(inside), "sig").groupBy("sig", "group").agg(F.min(F.struct("th", "doc_id")).alias("at"), F.first("n").alias("n"))
+    member = ws.table(member, "members")
     weight = member.groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    member = ws.table(member.join(weight, "group"), "members")
-    here = member.select("group", "sig", "n", "blocks", F.col("at.th").alias("mth"), F.col("at.doc_id").alias("mid"))
-    wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).select("group", "sig", "n", "blocks", "text")
-    sets = wanted.mapInArrow(_shingle_pass(k), "group long, sig long, n long, blocks int, tokens binary")
+    # A set lies in a few slots: its text is hashed once for all its groups.
+    here = member.join(weight, "group").groupBy("sig", "n", F.col("at.th").alias("mth"), F.col("at.doc_id").alias("mid")).agg(F.collect_list(F.struct("group", "blocks")).alias("groups"))
+    here = ws.table(here, "here")
+    wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).select("sig", "n", "groups", "text")
+    sets = wanted.mapInArrow(_shingle_pass(k), "sig long, n long, groups array<struct<group:bigint,blocks:int>>, tokens binary")
+    sets = sets.select("sig", "n", "tokens", F.inline("groups"))
     # A unit is a block against itself or against another; nearly all groups are one block.
     own = F.pmod(F.xxhash64("sig", "n"), F.col("blocks")).cast("int")
     units = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
