@@ -1,7 +1,7 @@
 """License scans with DataFrame functions only: a positional rare-token index.
 
-The templates' words with their places are postings, each word weighted by its inverse document frequency
-over the templates.  A text's words that are among the templates' rarest are looked up; a hit at place i for
+Rows are scanned one by one without a shuffle.  The templates' words with their places are postings, each word
+weighted by its inverse document frequency over the templates.  A text's words that are among the templates' rarest are looked up; a hit at place i for
 template place j votes for the alignment (template, i - j), and an alignment's score is the matched share of the
 template's weight.  A template is reported when its score reaches ``LEAST`` and one of its
 mandatory key phrases stands in the text word by word.
@@ -10,14 +10,12 @@ mandatory key phrases stands in the text word by word.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
-
 #: Phrases whose places are the base result, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Fixed values: (label, text that marks the licence, key phrases of which one must be there).
@@ -40,23 +38,29 @@ TEMPLATES = (
 )
 #: Share of a template's weight that must align.
 LEAST = 0.6
-#: The rarest words of each template that are looked up.
-RARE = 6
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _index() -> tuple[list[tuple[str, int, int, float]], set[str]]:
-    """Postings (word, template, place, share of the template's weight) and the words to look up first."""
-    split = [re.split(" ", t) for _, t, _ in TEMPLATES]
+def _index() -> tuple[list[list[tuple[str, float]]], dict[str, list[tuple[int, int]]]]:
+    """Each template's words with their shares of its weight, and the postings (template, place) of the words to look up.
+
+    A template's rarest words are looked up, as many as weigh more than ``1 - LEAST``: no alignment
+    reaches ``LEAST`` without one of them.
+    """
+    split = [t.split(" ") for _, t, _ in TEMPLATES]
     df = Counter(w for ws in split for w in set(ws))
     idf = {w: math.log((1 + len(split)) / n) for w, n in df.items()}
-    posts = []
-    rare: set[str] = set()
+    shares, postings = [], {}
     for n, ws in enumerate(split):
         whole = sum(idf[w] for w in ws)
-        posts += [(w, n, i, idf[w] / whole) for i, w in enumerate(ws)]
-        rare.update(sorted(set(ws), key=lambda w: (-idf[w], w))[:RARE])
-    return posts, rare
+        shares.append([(w, idf[w] / whole) for w in ws])
+        held = 0.0
+        for w in sorted(set(ws), key=lambda w: (-idf[w], w)):
+            if held > 1 - LEAST + 1e-9:
+                break
+            held += ws.count(w) * idf[w] / whole
+            postings.setdefault(w, []).extend((n, i) for i, x in enumerate(ws) if x == w)
+    return shares, postings
 
 
 def _spaced(text: Column) -> Column:
@@ -70,65 +74,70 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are maximal runs of bytes outside the ASCII non-alphanumerics, A-Z lower-cased.  ``n_base`` counts all places of
     the base phrases, ``first_word``/``last_word`` are their least and greatest start (null if there is none); ``labels``
-    adds the templates that align and hold a key phrase; ``score`` is the best alignment's share of its
-    template's weight, and 1 where a base phrase stands.  Null texts count as empty; empty texts have no words.  One row for each
+    adds the templates that align and hold a key phrase; ``score`` is the best share of a template's weight
+    among the alignments that a looked-up word votes for (0 where no key phrase's rarest word stands), and 1 where a base phrase stands.  Null texts count as empty; empty texts have no words.  One row for each
     row; rows of equal id and text give equal rows.  An empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "licenses")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _spaced(text).alias("s"))
-    posts, rare = _index()
+    shares, found = _index()
     phrases = sorted({p for p, _ in BASE} | {p for _, _, keys in TEMPLATES for p in keys})
     # Every template and base phrase has one of these words: texts without any need no more than a word count.
-    marks = sorted({min(p.split(), key=lambda w: (w not in rare, -len(w), w)) for p in phrases})
-    maybe = F.lit(False)
-    for m in marks:
-        maybe = maybe | F.contains("s", F.lit(f" {m} "))
-    n_words = F.when(F.trim("s") == "", 0).otherwise(F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) - 1)
-    narrow = ws.table(rows.select("doc_id", "th", n_words.cast("long").alias("n_words"), F.when(maybe, F.col("s")).alias("s")), "words")
-    few = narrow.where("s is not null").dropDuplicates(["doc_id", "th"]).withColumn("words", F.split(F.trim("s"), " "))
-
-    def places(phrase: str) -> Column:
-        want = phrase.split()
-        test = lambda w, i: F.slice("words", i + 1, len(want)) == F.array(*map(F.lit, want))
-        at = F.filter(F.transform("words", lambda w, i: F.when((w == want[0]) & test(w, i), i)), lambda i: i.isNotNull())
-        return F.when(F.contains("s", F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
-
-    for n, (phrase, _) in enumerate(BASE):
-        few = few.withColumn(f"p{n}", places(phrase))
-    starts = F.concat(*[F.col(f"p{n}") for n in range(len(BASE))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"p{n}") > 0, F.lit(label)) for n, (_, label) in enumerate(BASE)]))
-    keyed = F.array_compact(F.array(*[F.when(_any([F.contains("s", F.lit(f" {k} ")) for k in keys]), F.lit(n)) for n, (_, _, keys) in enumerate(TEMPLATES)]))
-    few = few.select("doc_id", "th", "words", starts.alias("starts"), F.array_sort(F.array_distinct(base)).alias("base"), keyed.alias("keyed"))
-    few = ws.table(few, "few")
-
-    # Lookup: only texts with one of a template's rarest words, then all of the template's postings.
-    postings = spark.createDataFrame(posts, "word string, template int, at int, weight double")
-    held = few.select("doc_id", "th", "keyed", F.posexplode("words").alias("i", "word"))
-    votes = held.join(F.broadcast(postings), "word").groupBy("doc_id", "th", "template", (F.col("i") - F.col("at")).alias("offset"))
-    votes = votes.agg(F.least(F.sum("weight"), F.lit(1.0)).alias("score"), F.max(F.col("word").isin(sorted(rare))).alias("rare"), F.first("keyed").alias("keyed")).where("rare")
+    marks = sorted({min(p.split(), key=lambda w: (w not in found, -len(w), w)) for p in phrases})
+    # Fixed small arrays: the rare words' postings, and each template's words with their weights.
+    posting = lambda n, i: F.struct(F.lit(n).alias("template"), F.lit(i).alias("at"))
+    postings = F.create_map(*[c for w, where in found.items() for c in (F.lit(w), F.array(*[posting(*x) for x in where]))])
+    templates = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in ws]) for ws in shares])
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    good = (F.col("score") >= LEAST) & F.array_contains("keyed", F.col("template"))
-    # Sums of doubles in any order differ in their last digits.
-    best = votes.groupBy("doc_id", "th").agg(F.round(F.max("score"), 9).alias("best"), F.collect_set(F.when(good, F.element_at(names, F.col("template") + 1))).alias("more"))
-    found = few.select("doc_id", "th", "starts", "base").join(best.withColumnRenamed("doc_id", "_i").withColumnRenamed("th", "_t"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
-    found = found.select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "starts", "base",
-        F.coalesce("more", F.array().cast("array<string>")).alias("more"), F.coalesce("best", F.lit(0.0)).alias("best"),
-    )
-    out = narrow.select("doc_id", "th", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
-    return ws.finish(out.select(
+
+    def places(s: Column, words: Column, phrase: str) -> Column:
+        want = phrase.split()
+        test = lambda w, i: F.slice(words, i + 1, len(want)) == F.array(*map(F.lit, want))
+        at = F.filter(F.transform(words, lambda w, i: F.when((w == want[0]) & test(w, i), i)), lambda i: i.isNotNull())
+        return F.when(F.contains(s, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
+
+    def aligned(words: Column) -> Column:
+        """(template, score) of each alignment that a rare word votes for."""
+        hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(found)), i)), lambda i: i.isNotNull())
+        place = lambda i: F.transform(F.element_at(postings, F.get(words, i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("offset")))
+        weights = lambda c: F.transform(F.element_at(templates, c["template"] + 1), lambda p, j: F.when(F.get(words, c["offset"] + j) == p["word"], p["weight"]).otherwise(0.0))
+        score = lambda c: F.least(F.round(F.aggregate(weights(c), F.lit(0.0), lambda x, y: x + y), 9), F.lit(1.0))
+        return F.transform(F.array_distinct(F.flatten(F.transform(hits, place))), lambda c: F.struct(c["template"].alias("template"), score(c).alias("score")))
+
+    def details(s: Column, words: Column) -> Column:
+        keyed = F.array_compact(F.array(*[F.when(_any([F.contains(s, F.lit(f" {k} ")) for k in keys]), F.lit(n)) for n, (_, _, keys) in enumerate(TEMPLATES)]))
+
+        def judged(votes: Column, keyed: Column) -> Column:
+            good = F.filter(votes, lambda v: (v["score"] >= LEAST) & F.array_contains(keyed, v["template"]))
+            return F.struct(F.array_max(F.transform(votes, lambda v: v["score"])).alias("best"), F.transform(good, lambda v: F.element_at(names, v["template"] + 1)).alias("more"))
+
+        lookup = _let(aligned(words), lambda votes: _let(keyed, lambda k: judged(votes, k)))
+        return F.struct(F.array(*[places(s, words, phrase) for phrase, _ in BASE]).alias("places"), lookup.alias("lookup"))
+
+    def scan(s: Column) -> Column:
+        n_words = F.when(F.trim(s) == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) - 1)
+        some = F.when(_any([F.contains(s, F.lit(f" {m} ")) for m in marks]), _let(F.split(F.trim(s), " "), lambda words: details(s, words)))
+        return F.struct(n_words.cast("long").alias("n_words"), some.alias("some"))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _let(_spaced(text), scan).alias("r"))
+    none = F.array().cast("array<int>")
+    rows = rows.select("doc_id", "r.n_words", F.coalesce("r.some.places", F.array(*[none] * len(BASE))).alias("places"), F.coalesce("r.some.lookup.more", F.array().cast("array<string>")).alias("more"), F.coalesce("r.some.lookup.best", F.lit(0.0)).alias("best"))
+    starts = F.flatten("places")
+    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.get("places", F.lit(n))) > 0, F.lit(label)) for n, (_, label) in enumerate(BASE)]))))
+    return rows.select(
         "doc_id", "n_words",
-        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"),
-        joined(F.col("base")).alias("base_labels"),
-        joined(F.array_sort(F.array_union("base", "more"))).alias("labels"),
-        F.when(F.size("starts") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
-    ))
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, "more")), ",").alias("labels"),
+        F.when(F.size(starts) > 0, 1.0).otherwise(F.col("best")).alias("score"),
+    )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _any(tests: list[Column]) -> Column:
