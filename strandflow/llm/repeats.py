@@ -32,8 +32,6 @@ SEGMENT = 1 << 20
 FOLD, SORT_BYTES = 1_500_000, 8_000_000
 #: Stretches kept for one key when a key has more of them than one sort takes.
 HOT = 20_000
-#: Decided runs that are broadcast at most, with their texts' hashes; beyond that texts and runs meet by shuffle.
-BROADCAST_RUNS = 2_000_000
 _U64 = np.uint64
 
 
@@ -266,11 +264,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     open_runs = found.where("not decided")
     # Decided runs of such a key may hold equal windows too; of equal stretches one stands for all.
-    one = found.where("decided").join(open_runs.select("key").distinct(), "key").groupBy("key", "whole").agg(F.min(F.struct("th", "first", "starts")).alias("one"))
+    # They are picked before the join, combined map-side: a key may have very many decided runs.
+    one = found.where("decided").groupBy("key", "whole").agg(F.min(F.struct("th", "first", "starts")).alias("one"))
+    one = one.join(open_runs.select("key").distinct(), "key", "left_semi")
     needed = ws.table(open_runs.select("key", "th", "first", "starts").union(one.select("key", "one.*")), "needed")
     keys = needed.groupBy("key").agg(F.count("*").alias("many"))
     wanted = needed.groupBy("th").agg(F.collect_list(F.struct("first", "starts", "key")).alias("runs"))  # as many as the text is long
-    cut = _with_runs(long.select("th", "text"), wanted, needed, "th").mapInArrow(_cut_stretches, "th long, first long, starts long, key long, stretch binary")
+    cut = long.select("th", "text").join(wanted.hint("merge"), "th").mapInArrow(_cut_stretches, "th long, first long, starts long, key long, stretch binary")
     cut = cut.join(keys, "key")
     usual = cut.where(f"many <= {HOT}").repartition("key").sortWithinPartitions("key", "th", "first").mapInArrow(_sort_keys, "th long, first long, starts long")
     found_open = usual.union(_hot_windows(cut.where(f"many > {HOT}")))
@@ -280,17 +280,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = twice.select("th", F.lit(True).alias("whole"), F.lit(None).cast("struct<first:bigint,starts:bigint>").alias("run"))
     per = whole.union(decided.select("th", F.lit(False), F.struct("first", "starts"))).groupBy("th").agg(F.max("whole").alias("whole"), F.collect_list("run").alias("runs"))
     per = ws.table(per, "per")
-    joined = _with_runs(text, per, decided, "th", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    # Runs grow with the texts, so the two always meet by shuffle.
+    joined = text.join(per.hint("merge"), "th", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
     out = joined.mapInArrow(_judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_from array<long>, span_upto array<long>")
     return ws.finish(out)
 
 
-def _with_runs(text: DataFrame, per: DataFrame, rows: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Texts with their runs; broadcast only if the runs are few."""
-    few = rows.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    return text.join(F.broadcast(per) if few else per, on, how)
-
-
 def _hot_windows(cut: DataFrame) -> DataFrame:
     """The same answer for keys of very many stretches: windows of a key are grouped by a hash of their bytes.
 
