@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from .workspace import Workspace
 
 #: Entries of the younger half of a worker's memo of encoded words.
 MEMO = 700_000
+#: Bytes of texts whose chunks are numbered together.
+LOT_BYTES = 8_000_000
 _TAIL = b".,!?;:"
 
 
@@ -38,18 +41,21 @@ class WordEncoder:
     For such a tokenizer the ids of a text are those of its white-space-separated chunks in order, so each
     distinct chunk is encoded once by the library and remembered.  A run of punctuation after a letter or digit is a
     pre-token of its own, and case is folded by the tokenizer, so ``Word``, ``word`` and ``word,`` share one encoding.
+    Arrow splits the texts and numbers their distinct chunks, so a chunk is looked up once a lot of texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # Tokens that end a word, if the vocabulary marks them: then many words can be encoded as one text and told apart.
-        model = json.loads(self._tokenizer.to_str())["model"]
-        suffix = model.get("end_of_word_suffix")
-        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
-        if suffix:
-            self._ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        # A character whose one id ends a word, if there is any: between parts it tells where each begins.
+        suffix = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self._mark = self._mark_id = None
+        for mark in "\u00b6\u00a7\u00a4\u00ac|~" if suffix else "":
+            ids = self._tokenizer.encode(mark, add_special_tokens=False).ids
+            if len(ids) == 1 and self._tokenizer.id_to_token(ids[0]).endswith(suffix):
+                self._mark, self._mark_id = mark.encode(), ids[0]
+                break
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -67,37 +73,54 @@ class WordEncoder:
         return (cut, chunk[len(cut) :]) if plain else (chunk, b"")
 
     def _encode(self, parts: list[bytes]) -> None:
-        """Encodes parts by the library: words of letters a thousand at once, the others one by one."""
-        letters: list[bytes] = []
-        others: list[bytes] = []
-        for p in parts:
-            if p.isalpha():
-                letters.append(p)
-            else:
-                text = p.decode()
-                (letters if text.isalpha() and max(text) < "ɐ" and "\u0130" not in text else others).append(p)
-        if not self._ends.any():
-            letters, others = [], parts
-        lots = [letters[i : i + 1000] for i in range(0, len(letters), 1000)]
-        coded = self._tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lots] + [p.decode() for p in others], add_special_tokens=False)
+        """Encodes parts by the library, a thousand at once with marks between them; those that hold the mark or a special token alone."""
+        mark = self._mark
+        alone = [p for p in parts if mark is None or mark in p or b"<|" in p]
+        apart = set(alone)
+        joined = [p for p in parts if p not in apart] if alone else parts
+        lots = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
+        sep = b" %b " % (mark or b"")
+        coded = self._tokenizer.encode_batch_fast([(sep.join(x) + sep).decode() for x in lots] + [p.decode() for p in alone], add_special_tokens=False)
         for lot, e in zip(lots, coded, strict=False):
             ids = np.array(e.ids, np.uint32)
             buf = ids.tobytes()
-            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
-            self._new.update(zip(lot, (buf[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for p, e in zip(others, coded[len(lots) :], strict=True):
+            ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
+            self._new.update(zip(lot, (buf[i:j] for i, j in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)), strict=True))
+        for p, e in zip(alone, coded[len(lots) :], strict=True):
             self._new[p] = np.array(e.ids, np.uint32).tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, lost: list[bytes]) -> list[bytes]:
+        """The ids of chunks that the younger memo lacks."""
+        new, old = self._new, self._old
+        new[b""] = b""  # white space at a text's edges
+        fresh = [c for c in lost if c not in old]
+        new.update((c, old[c]) for c in lost if c in old)
+        parts = list(map(self._parts, fresh))
+        self._encode([p for p in {p for both in parts for p in both} if p and p not in new])
+        new.update((c, new[base] + new[tail]) for c, (base, tail) in zip(fresh, parts, strict=True) if tail)
+        return list(map(new.__getitem__, lost))
+
+    def _encode_lot(self, texts: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        chunks = numbered.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self._new) > MEMO:
             self._old, self._new = self._new, {}
-        lost = chunks.difference(self._new)
-        known = lost.intersection(self._old)
-        self._new.update((c, self._old[c]) for c in known)
-        lost -= known
-        parts = {c: self._parts(c) for c in lost}
-        self._encode(list({p for both in parts.values() for p in both if p}.difference(self._new)))
-        self._new.update((c, self._new[base] + self._new[tail]) for c, (base, tail) in parts.items() if tail)
+        coded = list(map(self._new.get, chunks))
+        lost = [i for i, c in enumerate(coded) if c is None]
+        for i, c in zip(lost, self._learn([chunks[i] for i in lost]), strict=True):
+            coded[i] = c
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        which = numbered.indices.to_numpy()
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[which])))
+        kind = np.int32 if ends[-1] < 2**31 else np.int64  # half the memory unless one text is huge
+        shift = (np.cumsum(lengths) - lengths)[which] - ends[:-1]
+        at = np.repeat(shift.astype(kind), lengths[which])
+        at += np.arange(len(at), dtype=kind)
+        whole = ids[at].tobytes()
+        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [whole[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers.
@@ -105,10 +128,14 @@ class WordEncoder:
         The tokenizer folds case itself; folding A-Z first makes fewer distinct chunks.  It changes nothing unless a combining mark
         (lead bytes CC and CD) makes one character of a letter and itself, or a special token is spelt in the text.
         """
-        split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
-        self._learn(set().union(*split))
-        get = self._new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        folded = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
+        out, start, size = [], 0, 0
+        for i, t in enumerate(folded):
+            size += len(t)
+            if size >= LOT_BYTES or i + 1 == len(folded):
+                out += self._encode_lot(folded[start : i + 1])
+                start, size = i + 1, 0
+        return out
 
 
 @lru_cache(2)
@@ -141,7 +168,7 @@ def _write(path: str, folder: str, end: int, shard_tokens: int):
             docs.clear()
             held = 0
 
-        for batch, texts in batches(it, "text"):
+        for batch, texts in batches(it, "text", LOT_BYTES):
             for doc, coded in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(texts), strict=True):
                 ids.append(coded + stop)
                 docs.append(doc)
