@@ -195,13 +195,15 @@ def _link_unit(num: int, den: int):
 
 
 def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) -> (doc_id, th, n_shingles, component_id, copies), checkpointed.
+    """Rows of ``docs`` (doc_id, text) -> (doc_id, th, n_shingles, component_id, component, copies), checkpointed.
 
     One row for each distinct (doc_id, text); ``copies`` counts the rows it stands for and ``th`` is the
     text's xxhash64.  Two texts link when ``den * |A & B| >= num * |A | B|`` for their sets of
     ``k``-word shingles; ``component_id`` is the least doc_id reachable by links, a row's own included.
+    ``component`` is the component's own key: components that share an id, or have none, differ in it.
 
-    Null or blank texts have an empty set and link with nothing (component_id is their own doc_id).
+    Null or blank texts have an empty set and link with nothing (component_id is their own doc_id,
+    component is null).
     Rows with a null doc_id take part; their component_id is the least id reachable, null if there is
     none.  Repeated rows and repeated ids are allowed.  An empty table gives an empty result.  Other
     columns of ``docs`` are ignored, whatever their names.
@@ -225,7 +227,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     per = per.withColumn("class", F.when(F.col("n") > 0, F.when(F.col("root").isNull(), F.struct("sig", "sig2")).otherwise(F.struct(F.col("root").alias("sig"), F.lit(None).cast("long").alias("sig2")))))
     per = ws.table(per, "rows")
     least = per.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    out = per.join(least, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "copies")
+    out = per.join(least, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("component"), "copies")
     return ws.finish(out)
 
 
@@ -264,9 +266,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     spark = docs.sparkSession
     found = link_components(docs, k, num, den)
-    best = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
+    best = found.where("n_shingles > 0 and component_id is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
     ws = Workspace(spark, "keep")
-    judged = found.join(best, "component_id", "left")
+    judged = found.join(best, "component", "left")
     gone = (F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
     drop = ws.finish(judged.where(F.col("best").isNotNull() & gone).select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")))
     th = F.xxhash64(docs["text"].cast("string"))
