@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     spark = docs.sparkSession
     found = link_components(docs, k, num, den)
-    best = found.where("n_shingles > 0 and component_id is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
+    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
     ws = Workspace(spark, "keep")
     judged = found.join(best, "component", "left")
     gone = (F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))

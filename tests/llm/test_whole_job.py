@@ -8,7 +8,7 @@ def _prose(tag, n=60):
 
 
 def _kept(spark, rows):
-    return sorted((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    return sorted(((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
 
 
 def test_keep_one_of_unlike_texts_under_one_id(spark):
@@ -20,3 +20,11 @@ def test_keep_one_of_unlike_texts_under_one_id(spark):
 
 def _th(spark, text):
     return spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(t)").first()[0]
+
+
+def test_keep_one_of_near_copies_without_ids(spark):
+    a, b = _prose("a"), _prose("b")
+    kept = _kept(spark, [(None, a), (None, a + " tail"), (None, b), (7, b + " tail"), (None, ""), (None, "")])
+    assert len([t for d, t in kept if t in (a, a + " tail")]) == 1
+    assert [t for d, t in kept if t in (b, b + " tail")] == [b + " tail"]
+    assert [t for d, t in kept if t == ""] == ["", ""] and len(kept) == 4
