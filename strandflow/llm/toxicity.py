@@ -31,8 +31,8 @@ from .workspace import bounded_broadcast, shared_dir
 DECAY, SPAN = 0.7, 6
 #: Longest stretch of a word scored at once; longer words are scored in overlapping stretches.
 STRETCH = 32
-#: Labelled documents that the machine is fitted on at most (all learning rows if fewer).
-SAMPLE = 3000
+#: Labelled documents of each label that the machine is fitted on at most (all learning rows if fewer).
+SAMPLE = 5000
 LANDMARKS, CLEAN_WORDS, ROUNDS = 192, 6000, 2
 _LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _SPLIT = re.compile(r"\S+")
@@ -178,12 +178,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> tu
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r = p * (1 - p) + 1e-9
-        grad = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum()])
+        r = weight * p * (1 - p) + 1e-9
+        off = weight * (p - y)
+        grad = np.array([(off * x).sum() + 1e-2 * a, off.sum()])
         hess = np.array([[(r * x * x).sum() + 1e-2, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-6]])
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 5 / np.abs(step).max())
@@ -197,58 +198,104 @@ def _grams(word: str) -> set[str]:
     return {p[i : i + 4] for i in range(len(p) - 3)} | {word}
 
 
-def fit(words: list[list[str]], toxic: list[int]) -> Model:
-    """A model from the word sets of labelled documents; without both labels it gives every text their share."""
+def _hashed_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words' grams, where each word's grams start and end)."""
+    at = np.zeros(len(words) + 1, np.int64)
+    parts = []
+    for start in range(0, len(words), 20_000):
+        lot = [_grams(w) for w in words[start : start + 20_000]]
+        at[start + 1 : start + 1 + len(lot)] = [len(g) for g in lot]
+        parts.append(np.fromiter((hash(x) for g in lot for x in g), np.int64, int(at[start + 1 : start + 1 + len(lot)].sum())))
+    return np.concatenate(parts or [np.zeros(0, np.int64)]), at.cumsum()
+
+
+def _first_scores(names: list[str], docs: list[np.ndarray], y: np.ndarray, bad_words: np.ndarray) -> np.ndarray:
+    """For each word of toxic documents (ascending in ``bad_words``) its most telling gram; -9 for all others.
+
+    A gram counts by its log odds times the (log) number of toxic documents that hold it.  Only grams of
+    toxic documents' words are counted.
+    """
+    hashes, at = _hashed_grams([names[w] for w in bad_words.tolist()])
+    grams, index = np.unique(hashes, return_inverse=True)
+    index = index.astype(np.int32)
+    del hashes
+    held = np.zeros((2, len(grams)), np.int64)
+    place = np.full(len(names), -1, np.int32)
+    place[bad_words] = np.arange(len(bad_words))
+    for lot in range(0, len(docs), 200):
+        some = docs[lot : lot + 200]
+        # Words that no toxic document holds may still share grams with those of toxic documents.
+        others = np.unique(np.concatenate([ws[place[ws] < 0] for ws in some]))
+        hashes, start = _hashed_grams([names[w] for w in others.tolist()])
+        found = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+        known = grams[found] == hashes
+        for ws, t in zip(some, y[lot : lot + 200].astype(int).tolist(), strict=True):
+            own = place[ws]
+            mine = [index[at[w] : at[w + 1]] for w in own[own >= 0].tolist()]
+            for w in np.searchsorted(others, ws[own < 0]).tolist():
+                mine.append(found[start[w] : start[w + 1]][known[start[w] : start[w + 1]]])
+            if mine:
+                held[t][np.unique(np.concatenate(mine))] += 1
+    bad, good = int(y.sum()), int(len(y) - y.sum())
+    odds = np.log((held[1] + 0.2) / (bad + 1)) - np.log((held[0] + 0.2) / (good + 1))
+    score = np.full(len(names), -9.0)
+    if len(bad_words):
+        score[bad_words] = np.maximum.reduceat((odds * np.log1p(held[1]))[index], at[:-1])
+    return score
+
+
+def fit(names: list[str], docs: list[np.ndarray], toxic: list[int], share: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model from labelled documents; without both labels it gives every text their share.
+
+    ``names`` are the words in ascending order, ``docs`` each document's distinct words as ascending places
+    in ``names``; ``share`` is the number of documents that one of label 0 and one of label 1 stands for.
+    """
     y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
-        return Model(np.zeros(1 << 18), 0.0, 1e-3, math.log(share / (1 - share)))
-    seen = (Counter(), Counter())
-    grams = (Counter(), Counter())
-    for ws, t in zip(words, toxic, strict=True):
-        seen[t].update(ws)
-    for t in (1, 0):  # of the clean documents' grams only those that toxic documents hold
-        for ws, own in zip(words, toxic, strict=True):
-            if own == t:
-                mine = {g for w in ws for g in _grams(w)}
-                grams[t].update(mine if t else mine & grams[1].keys())
-    bad, good = sum(toxic), len(toxic) - sum(toxic)
-    odds = {g: math.log((n + 0.2) / (bad + 1)) - math.log((grams[0][g] + 0.2) / (good + 1)) for g, n in grams[1].items()}
-    # A gram counts by its log odds times the (log) number of toxic documents that hold it.
-    first = {w: max(odds[g] * math.log1p(grams[1][g]) for g in _grams(w)) for w in seen[1]}
-    clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
+        mean = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
+        return Model(np.zeros(1 << 18), 0.0, 1e-3, math.log(mean / (1 - mean)))
+    seen = np.zeros((2, len(names)), np.int64)
+    for ws, t in zip(docs, toxic, strict=True):
+        seen[t][ws] += 1
+    score = _first_scores(names, docs, y, np.flatnonzero(seen[1]))
+    every = np.flatnonzero(seen[0])
+    clean = every[np.lexsort((every, -seen[0][every]))]
     step = max(1, len(clean) // CLEAN_WORDS)
-    clean = clean[:2000] + clean[2000::step]
-    score = first
+    clean = np.concatenate((clean[:2000], clean[2000::step])).tolist()
+    rare = seen[0] * share[0] <= seen[1] * share[1]
     model = None
     for _ in range(ROUNDS):
         picks: Counter = Counter()
-        for ws, t in zip(words, toxic, strict=True):
-            if t and ws:
-                picks[max(ws, key=lambda w: (score.get(w, -9.0), w))] += 1
+        for ws, t in zip(docs, toxic, strict=True):
+            if t and len(ws):
+                picks[int(ws[np.flatnonzero(score[ws] == score[ws].max())[-1]])] += 1
         insults = [w for w, _ in picks.most_common()]
-        insults = [w for w in insults if seen[0][w] <= seen[1][w]] or insults
+        insults = [w for w in insults if rare[w]] or insults
+        taken = set(insults)
         common = insults[: LANDMARKS // 2]
         rest = clean[:: max(1, len(clean) // (LANDMARKS - len(common)))][: LANDMARKS - len(common)]
-        chart = Nystrom(list(dict.fromkeys(common + rest)))
-        negatives = [w for w in clean if w not in set(insults)]
+        chart = Nystrom([names[w] for w in dict.fromkeys(common + rest)])
+        negatives = [w for w in clean if w not in taken]
         for again in range(2):
-            x = chart.features(insults + negatives)
+            x = chart.features([names[w] for w in insults + negatives])
             target = np.concatenate((np.ones(len(insults)), -np.ones(len(negatives))))
             weight = np.concatenate((np.sqrt([picks[w] for w in insults]), np.ones(len(negatives))))
             w, b = _svm(x, target, weight)
             model = Model(chart.folded(w), b, 1.0, 0.0)
             if not again:  # the clean words it takes for insults, as further examples
-                every = list(seen[0])
-                at = np.argsort(-model.words(every), kind="stable")[:3000]
-                negatives = list(dict.fromkeys(negatives + [every[i] for i in at if every[i] not in set(insults)]))
-        every = sorted(set(seen[0]) | set(seen[1]))
-        score = dict(zip(every, model.words(every).tolist(), strict=True))
-    worst = np.array([max((score[w] for w in ws), default=model.bias) for ws in words])
-    model.slope, model.shift = _logistic(worst, y)
+                score = _scores(model, names)
+                hard = every[np.argsort(-score[every], kind="stable")[:3000]].tolist()
+                negatives = list(dict.fromkeys(negatives + [w for w in hard if w not in taken]))
+        score = _scores(model, names)
+    worst = np.array([score[ws].max() if len(ws) else model.bias for ws in docs])
+    model.slope, model.shift = _logistic(worst, y, np.where(y > 0, share[1], share[0]) / max(share))
     return model
 
 
+def _scores(model: Model, names: list[str]) -> np.ndarray:
+    return np.concatenate([model.words(names[n : n + 20_000]) for n in range(0, len(names), 20_000)])
+
+
 class Scorer:
     """Scores whole texts; remembers words, in two halves of which the older is dropped."""
 
@@ -273,26 +320,45 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> Model:
-    """Fits on at most ``sample`` labelled documents, of those with ``crc32(doc_id) % fold <> 0``.
+    """Fits on at most ``sample`` documents of each label, of those labelled with ``crc32(doc_id) % fold <> 0``.
 
-    The sample is the first in order of a hash of the id; rows of null id or label teach nothing, and of
-    labels that contradict each other for an id the higher counts.
+    A label's sample is the first in order of a hash of the id, among ids that ``docs`` has; each label counts by its
+    documents, not by its sample.  Rows of null id or label teach nothing, and of labels that contradict each
+    other for an id the higher counts.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     learn = labels.where("doc_id is not null and toxic in (0, 1)").where(f"crc32(cast(cast(doc_id as bigint) as string)) % {fold} <> 0")
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    learn = learn.orderBy(F.xxhash64("label_id"), "label_id").limit(sample).checkpoint()
-    rows = docs.join(bounded_broadcast(learn), docs["doc_id"].cast("long") == F.col("label_id")).select("label_id", "toxic", F.col("text").cast("string").alias("text"))
+    learn = learn.join(docs.select(F.col("doc_id").cast("long").alias("label_id")), "label_id", "left_semi").checkpoint()
+    whole = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    first = [learn.where(F.col("toxic") == t).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for t in (0, 1)]
+    taken = first[0].union(first[1]).checkpoint()
+    rows = docs.join(bounded_broadcast(taken), docs["doc_id"].cast("long") == F.col("label_id")).select("label_id", "toxic", F.col("text").cast("string").alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, "text"):
             yield pa.record_batch([batch.column("label_id"), batch.column("toxic"), pa.array([sorted(words_of(t.decode())) for t in texts], pa.list_(pa.string()))], names=["id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "id long, toxic int, words array<string>").dropDuplicates(["id"]).toArrow().sort_by("id")
-    pool: dict[str, str] = {}  # one object for equal words
-    words = [[pool.setdefault(w, w) for w in row.as_py()] for row in got.column("words")]
-    return fit(words, got.column("toxic").to_pylist())
+    got = rows.mapInArrow(run, "id long, toxic int, words array<string>").dropDuplicates(["id"]).toArrow()
+    order = np.argsort(got.column("id").to_numpy(), kind="stable")
+    toxic = got.column("toxic").to_numpy()[order].tolist()
+    # Words become numbers batch by batch: each distinct one is kept once.
+    pool: dict[str, int] = {}
+    numbered: list[np.ndarray] = []
+    for part in got.column("words").chunks:
+        coded = part.flatten().dictionary_encode()
+        number = np.array([pool.setdefault(w, len(pool)) for w in coded.dictionary.to_pylist()], np.int32)
+        every = number[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+        numbered += np.split(every, np.diff(part.offsets.to_numpy()).cumsum()[:-1]) if len(part) else []
+    del got
+    names = sorted(pool)
+    place = np.empty(len(names), np.int32)
+    place[[pool[w] for w in names]] = np.arange(len(names), dtype=np.int32)
+    del pool
+    words = [np.sort(place[numbered[i]]) for i in order.tolist()]
+    share = [whole.get(t, 0) / max(1, toxic.count(t)) for t in (0, 1)]
+    return fit(names, words, toxic, (share[0], share[1]))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

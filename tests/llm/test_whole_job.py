@@ -1,5 +1,8 @@
 """Small cases in which an operator once did less than the whole job."""
 
+import random
+
+from strandflow.llm import toxicity
 from strandflow.llm.ngram_join import keep_one
 
 
@@ -28,3 +31,18 @@ def test_keep_one_of_near_copies_without_ids(spark):
     assert len([t for d, t in kept if t in (a, a + " tail")]) == 1
     assert [t for d, t in kept if t in (b, b + " tail")] == [b + " tail"]
     assert [t for d, t in kept if t == ""] == ["", ""] and len(kept) == 4
+
+
+def test_rare_toxic_rows_are_all_learnt(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice(["er", "lo", "ta", "ni", "se", "qu"]) for _ in range(3)) for _ in range(12))) for i in range(400)]
+    bad = [i for i in range(400) if i % 40 == 7]
+    rows = [(i, t + " moron" if i in bad else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Labels of documents that are not there take no one's place in the sample.
+    marks = [(i, int(i in bad)) for i in range(400)] + [(i, i % 2) for i in range(1000, 3000)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=40)
+    score = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    assert all(score[i] >= 0.5 for i in bad)
+    assert sum(score[i] >= 0.5 for i in score if i not in bad) <= 4
