@@ -75,17 +75,18 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Words are maximal runs of bytes outside the ASCII non-alphanumerics, A-Z lower-cased.  ``n_base`` counts all places of
     the base phrases, ``first_word``/``last_word`` are their least and greatest start (null if there is none); ``labels``
     adds the templates that align and hold a key phrase; ``score`` is the best share of a template's weight
-    among the alignments that a looked-up word votes for (0 where no key phrase's rarest word stands), and 1 where a base phrase stands.  Null texts count as empty; empty texts have no words.  One row for each
+    among the alignments that a looked-up word votes for (all that reach ``LEAST`` are; 0 if there is none), and 1 where a base phrase stands.  Null texts count as empty; empty texts have no words.  One row for each
     row; rows of equal id and text give equal rows.  An empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
     shares, found = _index()
     phrases = sorted({p for p, _ in BASE} | {p for _, _, keys in TEMPLATES for p in keys})
-    # Every template and base phrase has one of these words: texts without any need no more than a word count.
-    marks = sorted({min(p.split(), key=lambda w: (w not in found, -len(w), w)) for p in phrases})
+    # Every alignment and every phrase has one of these words: texts without any need no more than a word count.
+    marks = sorted(set(found) | {p.split()[0] for p in phrases if not found.keys() & set(p.split())}, key=lambda w: (len(w), w))
     # Fixed small arrays: the rare words' postings, and each template's words with their weights.
-    posting = lambda n, i: F.struct(F.lit(n).alias("template"), F.lit(i).alias("at"))
-    postings = F.create_map(*[c for w, where in found.items() for c in (F.lit(w), F.array(*[posting(*x) for x in where]))])
+    # An alignment is one number, its offset before the template's bits: numbers are told apart by hashing, structs pair by pair.
+    bits = len(TEMPLATES).bit_length()
+    postings = F.create_map(*[c for w, where in found.items() for c in (F.lit(w), F.array(*[F.lit(n - (i << bits)).cast("long") for n, i in where]))])
     templates = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in ws]) for ws in shares])
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
 
@@ -98,10 +99,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def aligned(words: Column) -> Column:
         """(template, score) of each alignment that a rare word votes for."""
         hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(found)), i)), lambda i: i.isNotNull())
-        place = lambda i: F.transform(F.element_at(postings, F.get(words, i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("offset")))
-        weights = lambda c: F.transform(F.element_at(templates, c["template"] + 1), lambda p, j: F.when(F.get(words, c["offset"] + j) == p["word"], p["weight"]).otherwise(0.0))
+        place = lambda i: F.transform(F.element_at(postings, F.get(words, i)), lambda p: F.shiftleft(i.cast("long"), bits) + p)
+        template = lambda c: c.bitwiseAND((1 << bits) - 1).cast("int")
+        offset = lambda c: F.shiftright(c, bits).cast("int")
+        weights = lambda c: F.transform(F.element_at(templates, template(c) + 1), lambda p, j: F.when(F.get(words, offset(c) + j) == p["word"], p["weight"]).otherwise(0.0))
         score = lambda c: F.least(F.round(F.aggregate(weights(c), F.lit(0.0), lambda x, y: x + y), 9), F.lit(1.0))
-        return F.transform(F.array_distinct(F.flatten(F.transform(hits, place))), lambda c: F.struct(c["template"].alias("template"), score(c).alias("score")))
+        return F.transform(F.array_distinct(F.flatten(F.transform(hits, place))), lambda c: F.struct(template(c).alias("template"), score(c).alias("score")))
 
     def details(s: Column, words: Column) -> Column:
         keyed = F.array_compact(F.array(*[F.when(_any([F.contains(s, F.lit(f" {k} ")) for k in keys]), F.lit(n)) for n, (_, _, keys) in enumerate(TEMPLATES)]))

@@ -3,6 +3,7 @@
 import random
 
 from strandflow.llm import toxicity
+from strandflow.llm.licenses import LEAST, TEMPLATES, _index, scan_licenses
 from strandflow.llm.ngram_join import keep_one
 
 
@@ -46,3 +47,19 @@ def test_rare_toxic_rows_are_all_learnt(spark):
     score = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
     assert all(score[i] >= 0.5 for i in bad)
     assert sum(score[i] >= 0.5 for i in score if i not in bad) <= 4
+
+
+def test_license_score_does_not_hang_on_unrelated_words(spark):
+    texts = [t for _, t, _ in TEMPLATES]
+    bsd = "redistribution and use in source and compiled forms with or without modification are permitted"
+    texts += [bsd, bsd + " xx apache", "redistribution of use in sourse", "xx", "are", "modification yy permitted"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in scan_licenses(rows).collect()}
+    shares, found = _index()
+    for n, t in enumerate(texts):
+        words = t.split(" ")
+        votes = {(k, i - j) for i, w in enumerate(words) for k, j in found.get(w, ())}
+        best = max((sum(x for j, (w, x) in enumerate(shares[k]) if 0 <= o + j < len(words) and words[o + j] == w) for k, o in votes), default=0)
+        assert score[n] in (1, round(best, 9)), t
+    at = len(TEMPLATES)
+    assert LEAST < score[at] == score[at + 1] < 1
