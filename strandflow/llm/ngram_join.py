@@ -179,7 +179,7 @@ def _shingle_pass(k: int):
     return run
 
 
-def _link_unit(num: int, den: int):
+def _link_unit(num: int, den: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         sig = table.column("sig").to_numpy()
         block = table.column("block").to_numpy()
@@ -187,6 +187,9 @@ def _link_unit(num: int, den: int):
         sets = [np.frombuffer(table.column("tokens")[int(i)].as_buffer(), _U64) for i in once]
         sig, block = sig[once], block[once]
         two = block if len(set(block.tolist())) > 1 else None
+        if every:
+            pairs = np.array(SignatureTree(sets, num, den).pairs(two) if sets else [], np.int64).reshape(-1, 2)
+            return pa.table({"a": pa.array(sig[pairs[:, 0]]), "b": pa.array(sig[pairs[:, 1]])})
         roots = np.array(SignatureTree(sets, num, den).link(two), np.int64) if sets else np.zeros(0, np.int64)
         off = roots != np.arange(len(roots))
         return pa.table({"a": pa.array(sig[off]), "b": pa.array(sig[roots[off]])})
@@ -194,12 +197,15 @@ def _link_unit(num: int, den: int):
     return run
 
 
-def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None, links: bool = False) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) -> (doc_id, th, n_shingles, component_id, component, copies), checkpointed.
 
     One row for each distinct (doc_id, text); ``copies`` counts the rows it stands for and ``th`` is the
     text's xxhash64.  Two texts link when ``den * |A & B| >= num * |A | B|`` for their sets of
     ``k``-word shingles; ``component_id`` is the least doc_id reachable by links, a row's own included.
+    With ``links`` every pair that the bounds leave is verified and ``n_links`` is added: the number of other rows
+    whose text links with the row's own, equal texts included (0 for an empty set); a group of near copies that all
+    link then costs the square of its sets.
     ``component`` is the component's own key: components that share an id, or have none, differ in it.
 
     Null or blank texts have an empty set and link with nothing (component_id is their own doc_id,
@@ -216,23 +222,24 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     folded = ws.table(hashed.repartition("part").mapInArrow(_fold, _FOLDED_TYPE), "folded")
     rows = folded.where("n is not null")
     edges = folded.where("a is not null").select("a", "b", "slot").distinct().checkpoint()
-    links = _links(text, rows, edges, k, num, den, ws) if not edges.isEmpty() else None
+    pairs = _links(text, rows, edges, k, num, den, ws, links) if not edges.isEmpty() else None
+    roots = None if pairs is None else _roots(pairs)
 
     per = rows.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.count("*").alias("copies"))
-    if links is not None:
-        per = per.join(bounded_broadcast(links), per.sig == links.node, "left").drop("node")
+    if roots is not None:
+        per = per.join(bounded_broadcast(roots), per.sig == roots.node, "left").drop("node")
     else:
         per = per.withColumn("root", F.lit(None).cast("long"))
     # A class is known by its two hashes; a component by its root's.
     per = per.withColumn("class", F.when(F.col("n") > 0, F.when(F.col("root").isNull(), F.struct("sig", "sig2")).otherwise(F.struct(F.col("root").alias("sig"), F.lit(None).cast("long").alias("sig2")))))
-    per = ws.table(per, "rows")
+    per = ws.table(_with_links(per, pairs) if links else per, "rows")
     least = per.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    out = per.join(least, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("component"), "copies")
+    out = per.join(least, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("component"), "copies", *[c for c in ["n_links"] if links])
     return ws.finish(out)
 
 
-def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
-    """(node, root) over the hashes of sets that link with a different set."""
+def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int, den: int, ws: Workspace, every: bool) -> DataFrame:
+    """(a, b) over the hashes of different sets that link: all such pairs if ``every``, else enough to connect them."""
     node = lambda c: F.xxhash64(c, "slot")
     ends = edges.select(F.col("a").alias("sig"), node("a").alias("node")).union(edges.select(F.col("b").alias("sig"), node("b").alias("node"))).distinct()
     group = components(edges.select(node("a").alias("a"), node("b").alias("b"))).withColumnRenamed("root", "group")
@@ -252,11 +259,29 @@ def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int,
     own = F.pmod(F.xxhash64("sig", "n"), F.col("blocks")).cast("int")
     units = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sig", "tokens")
-    found = units.groupBy("group", "lo", "hi").applyInArrow(_link_unit(num, den), "a long, b long")
-    found = ws.table(found, "links")
-    if found.isEmpty():
-        return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return components(found)
+    found = units.groupBy("group", "lo", "hi").applyInArrow(_link_unit(num, den, every), "a long, b long")
+    return ws.table(found, "links")
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(node, root) over the hashes of sets that link with a different set."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return components(pairs)
+
+
+def _with_links(per: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``per`` with ``n_links``: the other rows of a row's class and the rows of the classes that it links with."""
+    own = per.where("n > 0").groupBy(F.col("sig").alias("_sig"), F.col("sig2").alias("_sig2")).agg(F.sum("copies").alias("_own"))
+    per = per.join(own, (F.col("n") > 0) & (per.sig == F.col("_sig")) & (per.sig2 == F.col("_sig2")), "left").drop("_sig", "_sig2")
+    more = F.lit(0).cast("long")
+    if pairs is not None:
+        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        whole = own.groupBy(F.col("_sig").alias("b")).agg(F.sum("_own").alias("many"))
+        far = both.join(whole, "b").groupBy(F.col("a").alias("_a")).agg(F.sum("many").alias("_far"))
+        per = per.join(far, (F.col("n") > 0) & (per.sig == F.col("_a")), "left").drop("_a")
+        more = F.coalesce("_far", more)
+    return per.withColumn("n_links", F.coalesce(F.col("_own") - 1, F.lit(0)) + more).drop("_own", "_far")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -5,8 +5,9 @@ children's bitmaps, its range of set sizes, and the largest excess (set size min
 set, which is what collisions can hide).  For any two members of nodes A and B the
 overlap is at most popcount(A & B) + min(excess); node pairs whose bound or size ranges
 rule the threshold out are pruned together with everything below them.
-Only connectivity is wanted, so pairs of nodes that already lie wholly in one component are
-skipped as well: a clique of near copies costs about one verification a member.
+Where only connectivity is wanted (``link``), pairs of nodes that already lie wholly in one component are
+skipped as well: a clique of near copies costs about one verification a member.  ``pairs`` verifies
+all that the bounds leave.
 """
 
 from __future__ import annotations
@@ -76,24 +77,33 @@ class SignatureTree:
         shared = int((both[1:] == both[:-1]).sum())
         return self.den * shared >= self.num * (len(both) - shared)
 
-    def link(self, side: np.ndarray | None = None) -> list[int]:
+    def pairs(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """All linked pairs (indices into the given sets), each once; ``side`` as in ``link``."""
+        found: list[tuple[int, int]] = []
+        self.link(side, found)
+        return [(int(self.order[i]), int(self.order[j])) for i, j in found]
+
+    def link(self, side: np.ndarray | None = None, found: list[tuple[int, int]] | None = None) -> list[int]:
         """Roots (indices into the given sets) of all sets; ``side`` restricts links to pairs of unequal side.
 
         With ``side`` the trees of two blocks are traversed against each other: pairs within a block are
-        left to the block's own traversal.
+        left to the block's own traversal.  With ``found`` no pair is skipped and linked places are added to it.
         """
         where = None if side is None else side[self.order]
         top = len(self.levels) - 1
         stack = [(top, 0, 0)] if self.sets else []
         while stack:
             level, i, j = stack.pop()
-            root = self._component(level, i)
-            if root >= 0 and root == self._component(level, j) and (level or i != j):
-                continue
+            if found is None:
+                root = self._component(level, i)
+                if root >= 0 and root == self._component(level, j) and (level or i != j):
+                    continue
             if level == 0:
                 if i != j and (where is None or where[i] != where[j]) and self._linked(i, j):
                     a, b = self.find(i), self.find(j)
                     self.parent[max(a, b)] = min(a, b)
+                    if found is not None:
+                        found.append((i, j))
                 continue
             left, right = self._children(level, i), self._children(level, j)
             if i == j:

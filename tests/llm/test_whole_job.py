@@ -4,7 +4,7 @@ import random
 
 from strandflow.llm import toxicity
 from strandflow.llm.licenses import LEAST, TEMPLATES, _index, scan_licenses
-from strandflow.llm.ngram_join import keep_one
+from strandflow.llm.ngram_join import keep_one, link_components
 
 
 def _prose(tag, n=60):
@@ -63,3 +63,20 @@ def test_license_score_does_not_hang_on_unrelated_words(spark):
         assert score[n] in (1, round(best, 9)), t
     at = len(TEMPLATES)
     assert LEAST < score[at] == score[at + 1] < 1
+
+
+def test_number_of_links(spark):
+    rng = random.Random(6)
+    texts = [None, "", "one two", "one two"]
+    for tag in "abc":
+        words = _prose(tag, 80).split()
+        for _ in range(14):
+            at = rng.randrange(60, 80)
+            texts.append(" ".join([*words[:at], *[f"x{rng.randrange(3)}" for _ in range(rng.randrange(12))], *words[at:]]))
+    rows = list(enumerate(texts)) + [(9, texts[9]), (9, texts[9]), (None, texts[9])]
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := (t or "").split()) else set() for _, t in rows]
+    links = [sum(i != j and bool(a) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = link_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, links=True).collect()
+    want = sorted(str((d, n)) for (d, _), n in zip(rows, links, strict=True))
+    assert sorted(str((r.doc_id, r.n_links)) for r in got for _ in range(r.copies)) == want
+    assert len(set(links)) > 5
