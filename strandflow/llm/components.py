@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a long, b long) -> (node long, root long): the least node each node reaches.
+    """``edges`` (a, b) of one orderable type -> (node, root): the least node each node reaches.
 
     Every round hooks each node to its least neighbour (a map-side combined minimum, so a
     node with very many edges is no hot spot) and contracts; rounds are logarithmic in the

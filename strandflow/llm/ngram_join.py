@@ -5,13 +5,19 @@
    largest size U two linked sets differ in at most d = 2U(den-num)/(den+num) shingles, so of
    d+1 ranges of the hash space at least one holds exactly the same shingles in both.  Each
    range's content is hashed to a key.  Keys travel as packed arrays, one row a batch and
-   partition, and the reducer folds them in blocks: it keeps one set a key, so a key that a
+   stretch of the key space, and each partition's stretches are folded one after the other, in the order
+   that Spark sorts (and spills) them: of a key one set is kept, so a key that a
    third of all sets have takes no more memory than any other.
 2. Within a slot, sets that share a key, directly or through others, form a candidate group; every
    link lies inside a group of the slot of its larger set.  Keys of empty ranges would join most sets, so
    there are enough ranges that nearly every set fills more than d and needs none.
 3. In each group a signature tree (``sigtree``) finds the links exactly.  Groups above a
-   block's size are cut into blocks, and pairs of blocks are traversed against each other.
+   block's size are cut into blocks.  Each block is traversed together with the group's pivots, a few sets of
+   every group that all of its blocks get; that joins nearly all of a group of near copies.  What is left outside
+   the group's main component then meets all blocks, and pairs that already hang together are skipped, so the work
+   grows with the group and not with its square unless most of it stays apart.
+
+A set is known by 128 bits wherever links are made; candidate groups use 64, which at worst adds candidates.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import batches, released
 from .components import components
 from .shingles import mix, shingle_sets
 from .sigtree import SignatureTree
@@ -32,12 +39,14 @@ from .workspace import Workspace, bounded_broadcast, column_name
 SLOT = 1.2
 #: Ranges beyond the d+1 that are needed, and their share of these, so that empty ranges need no key of their own.
 SPARE, STRETCH = 3, 0.15
-#: Bytes of text hashed at once.
-BATCH = 2_000_000
-#: Keys folded at once by a reducer.
-FOLD = 2_000_000
+#: Keys folded at once by a reducer, and the stretches that each of its partitions is cut into.
+FOLD, STRETCHES = 1_000_000, 16
+#: Keys that a task gathers before it deals them out: the more, the larger the packed arrays.
+FLUSH = 2_000_000
 #: Sets and shingles in one block of a candidate group.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 3_000_000
+#: Pivots of a group of several blocks, on average.
+PIVOTS = 64
 _U64 = np.uint64
 
 
@@ -50,18 +59,6 @@ def _slots() -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, most: int = BATCH) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Arrow batches cut to about ``most`` bytes of text, with the texts as UTF-8 (null: empty)."""
-    for batch in it:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= most or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), [x or b"" for x in texts[start : i + 1]]
-                start, size = i + 1, 0
-
-
 def range_keys(s: np.ndarray, slot: int, d: int) -> np.ndarray:
     """Keys of the ranges of a sorted set, the slot in the low byte; equal content of a range gives equal keys.
 
@@ -78,61 +75,69 @@ def range_keys(s: np.ndarray, slot: int, d: int) -> np.ndarray:
     return keys if int(full.sum()) <= d else keys[full]
 
 
+def packed(rows: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, stretch, rows' bytes) of rows of uint64, dealt by the first column over the parts' stretches."""
+    part = (rows[:, 0] >> _U64(32)) * _U64(parts * STRETCHES) >> _U64(32)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    edge = np.concatenate((np.flatnonzero(np.diff(part, prepend=part[0] + _U64(1))), [len(part)])) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(part[a]) // STRETCHES, int(part[a]) % STRETCHES, rows[a:b].tobytes()
+
+
 def _hash_pass(k: int, num: int, den: int, parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _slots()
         spread = [2 * (int(b) - 1) * (den - num) // (den + num) for b in bounds[1:]]
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            part, stretch, blobs = zip(*packed(np.concatenate(held), parts), strict=True)
+            held.clear()
+            size = 0
+            nulls = pa.nulls(len(part), pa.int64())
+            return pa.record_batch([pa.array(part, pa.int32()), pa.array(stretch, pa.int32()), nulls, nulls, nulls, nulls, nulls, pa.array(blobs, pa.binary())], names=_HASHED)
+
         for batch, texts in batches(it, "text"):
             sets = shingle_sets(texts, k)
             n = np.fromiter((len(s) for s in sets), np.int64, len(sets))
             a = np.array([int(mix(s).sum(dtype=_U64)) for s in sets], _U64)
             b = mix(np.array([int(mix(s ^ _U64(0x5851F42D4C957F2D)).sum(dtype=_U64)) for s in sets], _U64) + n.astype(_U64))
-            a = mix(a ^ n.astype(_U64)).astype(np.int64)
-            keys, owner = [], []
-            for row, (s, size) in enumerate(zip(sets, n.tolist(), strict=True)):
-                if size:
-                    low = int(np.searchsorted(bounds, size, "right")) - 1
-                    high = int(np.searchsorted(bounds, size * den // num, "right")) - 1
+            a = mix(a ^ n.astype(_U64))
+            for row, (s, many) in enumerate(zip(sets, n.tolist(), strict=True)):
+                if many:
+                    low = int(np.searchsorted(bounds, many, "right")) - 1
+                    high = int(np.searchsorted(bounds, many * den // num, "right")) - 1
                     for slot in range(low, high + 1):
                         if spread[slot]:
-                            keys.append(range_keys(s, slot, spread[slot]))
-                            owner.append(np.full(len(keys[-1]), row))
+                            keys = range_keys(s, slot, spread[slot])
+                            held.append(np.stack((keys, np.full(len(keys), a[row])), axis=1))
+                            size += len(keys)
             rows = len(sets)
-            none = pa.nulls(rows, pa.binary())
-            yield pa.record_batch(
-                [pa.array((a % parts).astype(np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(a), pa.array(b.astype(np.int64)), none, none],
-                names=_HASHED,
-            )
-            if keys:
-                key = np.concatenate(keys)
-                own = a[np.concatenate(owner)]
-                part = (key >> _U64(32)) * _U64(parts) >> _U64(32)
-                order = np.argsort(part, kind="stable")
-                key, own = key[order], own[order]
-                cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=_U64))
-                some = np.flatnonzero(np.diff(cut))
-                nulls = pa.nulls(len(some), pa.int64())
-                yield pa.record_batch(
-                    [
-                        pa.array(some.astype(np.int32)), nulls, nulls, nulls, nulls, nulls,
-                        pa.array([key[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()),
-                        pa.array([own[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()),
-                    ],
-                    names=_HASHED,
-                )
+            signed = a.view(np.int64)
+            yield pa.record_batch([pa.array((signed % parts).astype(np.int32)), pa.nulls(rows, pa.int32()), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(signed), pa.array(b.view(np.int64)), pa.nulls(rows, pa.binary())], names=_HASHED)
+            if size >= FLUSH:
+                yield flush()
+        if size:
+            yield flush()
 
     return run
 
 
-_HASHED = ["part", "doc_id", "th", "n", "sig", "sig2", "keys", "members"]
+_HASHED = ["part", "stretch", "doc_id", "th", "n", "sig", "sig2", "keys"]
 
 
 def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents pass; of the keys come edges (a, b, slot) from each set to the first set seen with its key."""
+    """Rows of documents pass; of the keys come edges (a, b, slot) from each set to the first set seen with its key.
+
+    Rows come in order of their stretch, and a key lies in one stretch: what is remembered is let go when the next begins.
+    """
     seen_key, seen_set = np.zeros(0, _U64), np.zeros(0, np.int64)
     keys: list[np.ndarray] = []
     sets: list[np.ndarray] = []
-    held = 0
+    held, last = 0, None
 
     def fold() -> pa.RecordBatch:
         nonlocal seen_key, seen_set, held
@@ -154,11 +159,16 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = batch.filter(batch.column("n").is_valid())
         if whole.num_rows:
             nulls = pa.nulls(whole.num_rows, pa.int64())
-            yield pa.record_batch([*(whole.column(c) for c in _HASHED[1:6]), nulls, nulls, nulls], names=_FOLDED)
-        for key, own in zip(batch.column("keys"), batch.column("members"), strict=True):
-            if key.is_valid:
-                keys.append(np.frombuffer(key.as_buffer(), _U64).copy())
-                sets.append(np.frombuffer(own.as_buffer(), np.int64).copy())
+            yield pa.record_batch([*(whole.column(c) for c in _HASHED[2:7]), nulls, nulls, nulls], names=_FOLDED)
+        for stretch, blob in zip(batch.column("stretch").to_pylist(), batch.column("keys"), strict=True):
+            if blob.is_valid:
+                if stretch != last:
+                    if held:
+                        yield fold()
+                    seen_key, seen_set, last = np.zeros(0, _U64), np.zeros(0, np.int64), stretch
+                pair = np.frombuffer(blob.as_buffer(), _U64).reshape(-1, 2)
+                keys.append(pair[:, 0].copy())
+                sets.append(pair[:, 1].copy().view(np.int64))
                 held += len(keys[-1])
                 if held >= FOLD:
                     yield fold()
@@ -174,30 +184,44 @@ def _shingle_pass(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, "text"):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())
-            yield pa.record_batch([batch.column("sig"), batch.column("n"), batch.column("groups"), sets], names=["sig", "n", "groups", "tokens"])
+            yield pa.record_batch([batch.column("sig"), batch.column("sig2"), batch.column("units"), sets], names=["sig", "sig2", "units", "tokens"])
 
-    return run
+    return released(run)
+
+
+_LINKED = ["a", "a2", "b", "b2", "sets", "tested", "pruned", "verified"]
+_LINKED_TYPE = ", ".join(f"{c} long" for c in _LINKED)
 
 
 def _link_unit(num: int, den: int, every: bool):
+    """Links of one unit's sets, and a last row that counts its sets, tested and pruned pairs of nodes, and verified pairs of sets."""
+
     def run(table: pa.Table) -> pa.Table:
-        sig = table.column("sig").to_numpy()
+        name = np.stack([table.column(c).to_numpy() for c in ("sig", "sig2")], axis=1)
+        label = np.stack([table.column(c).to_numpy() for c in ("label", "label2")], axis=1)
         block = table.column("block").to_numpy()
-        _, once = np.unique(sig, return_index=True)  # rows of equal set come once for each repeated row
+        _, once = np.unique(name, axis=0, return_index=True)  # a set may come as one of several kinds
         sets = [np.frombuffer(table.column("tokens")[int(i)].as_buffer(), _U64) for i in once]
-        sig, block = sig[once], block[once]
-        two = block if len(set(block.tolist())) > 1 else None
+        name, block = name[once], block[once]
+        tree = SignatureTree(sets, num, den)
         if every:
-            pairs = np.array(SignatureTree(sets, num, den).pairs(two) if sets else [], np.int64).reshape(-1, 2)
-            return pa.table({"a": pa.array(sig[pairs[:, 0]]), "b": pa.array(sig[pairs[:, 1]])})
-        roots = np.array(SignatureTree(sets, num, den).link(two), np.int64) if sets else np.zeros(0, np.int64)
-        off = roots != np.arange(len(roots))
-        return pa.table({"a": pa.array(sig[off]), "b": pa.array(sig[roots[off]])})
+            pairs = np.array(tree.pairs(block if len(set(block.tolist())) > 1 else None), np.int64).reshape(-1, 2)
+        else:
+            _, known = np.unique(label[once], axis=0, return_inverse=True)
+            roots = np.array(tree.link(known=known.ravel()), np.int64)
+            off = np.flatnonzero(roots != np.arange(len(roots)))
+            off = off[(label[once][off] != label[once][roots[off]]).any(axis=1)]
+            pairs = np.stack((off, roots[off]), axis=1)
+        counts = [[0] * 4, [len(sets), tree.tested, tree.pruned, tree.verified]]
+        none, few = np.zeros((len(pairs), 4), np.int64), np.array(counts[1:], np.int64)
+        values = np.concatenate((np.concatenate((name[pairs[:, 0]], name[pairs[:, 1]], none), axis=1), np.concatenate((np.zeros((1, 4), np.int64), few), axis=1)))
+        real = np.arange(len(values)) < len(pairs)
+        return pa.table({c: pa.array(values[:, i], mask=~real if i < 4 else None) for i, c in enumerate(_LINKED)})
 
     return run
 
 
-def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None, links: bool = False) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None, links: bool = False, figures: dict[str, int] | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) -> (doc_id, th, n_shingles, component_id, component, copies), checkpointed.
 
     One row for each distinct (doc_id, text); ``copies`` counts the rows it stands for and ``th`` is the
@@ -207,6 +231,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     whose text links with the row's own, equal texts included (0 for an empty set); a group of near copies that all
     link then costs the square of its sets.
     ``component`` is the component's own key: components that share an id, or have none, differ in it.
+    ``figures`` takes the trees' counts: units, sets, pairs of nodes tested and pruned, pairs of sets verified.
 
     Null or blank texts have an empty set and link with nothing (component_id is their own doc_id,
     component is null).
@@ -218,68 +243,109 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     parts = partitions or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ws = Workspace(spark, "ngram")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    hashed = text.mapInArrow(_hash_pass(k, num, den, parts), "part int, doc_id long, th long, n long, sig long, sig2 long, keys binary, members binary")
-    folded = ws.table(hashed.repartition("part").mapInArrow(_fold, _FOLDED_TYPE), "folded")
+    hashed = text.mapInArrow(released(_hash_pass(k, num, den, parts)), "part int, stretch int, doc_id long, th long, n long, sig long, sig2 long, keys binary")
+    dealt = hashed.repartition(parts, "part").sortWithinPartitions("stretch", "part")
+    folded = ws.table(dealt.mapInArrow(released(_fold), _FOLDED_TYPE), "folded")
     rows = folded.where("n is not null")
     edges = folded.where("a is not null").select("a", "b", "slot").distinct().checkpoint()
-    pairs = _links(text, rows, edges, k, num, den, ws, links) if not edges.isEmpty() else None
-    roots = None if pairs is None else _roots(pairs)
+    pairs = _links(text, rows, edges, k, num, den, ws, links, figures) if not edges.isEmpty() else None
 
     per = rows.groupBy("doc_id", "th").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.count("*").alias("copies"))
-    if roots is not None:
-        per = per.join(bounded_broadcast(roots), per.sig == roots.node, "left").drop("node")
+    per = per.withColumn("class", F.when(F.col("n") > 0, F.struct("sig", "sig2")))
+    if pairs is not None and not pairs.isEmpty():
+        per = per.join(bounded_broadcast(components(pairs)), F.col("class") == F.col("node"), "left").drop("node")
     else:
-        per = per.withColumn("root", F.lit(None).cast("long"))
-    # A class is known by its two hashes; a component by its root's.
-    per = per.withColumn("class", F.when(F.col("n") > 0, F.when(F.col("root").isNull(), F.struct("sig", "sig2")).otherwise(F.struct(F.col("root").alias("sig"), F.lit(None).cast("long").alias("sig2")))))
+        per = per.withColumn("root", F.lit(None).cast("struct<sig:bigint,sig2:bigint>"))
+    per = per.withColumn("component", F.coalesce("root", "class"))
     per = ws.table(_with_links(per, pairs) if links else per, "rows")
-    least = per.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    out = per.join(least, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("component"), "copies", *[c for c in ["n_links"] if links])
+    least = per.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
+    out = per.join(least, "component", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "component", "copies", *[c for c in ["n_links"] if links])
     return ws.finish(out)
 
 
-def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int, den: int, ws: Workspace, every: bool) -> DataFrame:
-    """(a, b) over the hashes of different sets that link: all such pairs if ``every``, else enough to connect them."""
+def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int, den: int, ws: Workspace, every: bool, figures: dict[str, int] | None) -> DataFrame:
+    """(a, b), structs of (sig, sig2): all pairs of different sets that link if ``every``, else enough to connect them."""
     node = lambda c: F.xxhash64(c, "slot")
     ends = edges.select(F.col("a").alias("sig"), node("a").alias("node")).union(edges.select(F.col("b").alias("sig"), node("b").alias("node"))).distinct()
     group = components(edges.select(node("a").alias("a"), node("b").alias("b"))).withColumnRenamed("root", "group")
     inside = ws.table(ends.join(group, "node").select("sig", "group"), "groups")
-    member = rows.where("n > 0").join(bounded_broadcast(inside), "sig").groupBy("sig", "group").agg(F.min(F.struct("th", "doc_id")).alias("at"), F.first("n").alias("n"))
+    member = rows.where("n > 0").join(bounded_broadcast(inside), "sig").groupBy("sig", "sig2", "group").agg(F.min(F.struct("th", "doc_id")).alias("at"), F.first("n").alias("n"))
     member = ws.table(member, "members")
     weight = member.groupBy("group").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.count("*").alias("many"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    # A set lies in a few slots: its text is hashed once for all its groups.
-    here = member.join(weight, "group").groupBy("sig", "n", F.col("at.th").alias("mth"), F.col("at.doc_id").alias("mid")).agg(F.collect_list(F.struct("group", "blocks")).alias("groups"))
-    here = ws.table(here, "here")
-    wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).select("sig", "n", "groups", "text")
-    sets = wanted.mapInArrow(_shingle_pass(k), "sig long, n long, groups array<struct<group:bigint,blocks:int>>, tokens binary")
-    sets = sets.select("sig", "n", "tokens", F.inline("groups"))
-    # A unit is a block against itself or against another; nearly all groups are one block.
+    weight = ws.table(weight, "weights")
     own = F.pmod(F.xxhash64("sig", "n"), F.col("blocks")).cast("int")
-    units = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sig", "tokens")
-    found = units.groupBy("group", "lo", "hi").applyInArrow(_link_unit(num, den, every), "a long, b long")
-    return ws.table(found, "links")
+    placed = member.join(weight, "group").withColumn("own", own)
+
+    def linked(units: DataFrame, name: str) -> DataFrame:
+        """``units`` has a row for each set and unit: group, lo, hi, block, label, and the set's place in the texts."""
+        # A set lies in few groups and units: its text is hashed once for all of them.
+        here = units.groupBy("sig", "sig2", F.col("at.th").alias("mth"), F.col("at.doc_id").alias("mid")).agg(F.collect_list(F.struct("group", "lo", "hi", "block", "label")).alias("units"))
+        here = ws.table(here, f"here-{name}")
+        wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).dropDuplicates(["sig", "sig2"]).select("sig", "sig2", "units", "text")
+        kind = here.schema["units"].dataType.simpleString()
+        sets = wanted.mapInArrow(_shingle_pass(k), f"sig long, sig2 long, units {kind}, tokens binary").select("sig", "sig2", "tokens", F.inline("units"))
+        sets = sets.select("group", "lo", "hi", "block", "sig", "sig2", F.col("label.sig").alias("label"), F.col("label.sig2").alias("label2"), "tokens")
+        return ws.table(sets.groupBy("group", "lo", "hi").applyInArrow(_link_unit(num, den, every), _LINKED_TYPE), f"links-{name}")
+
+    alone = F.struct("sig", "sig2").alias("label")
+    each = F.explode(F.expr("sequence(0, blocks - 1)"))
+    if every:  # a block against itself or against another
+        units = placed.withColumn("other", each).select("sig", "sig2", "at", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("block"), alone)
+        found = [linked(units, "all")]
+    else:
+        blocks = placed.select("sig", "sig2", "at", "group", F.col("own").alias("lo"), F.col("own").alias("hi"), F.col("own").alias("block"), alone)
+        large = placed.where("blocks > 1")
+        pivots = large.where(F.expr(f"pmod(xxhash64('pivot', sig, group), 1073741824) < {PIVOTS} * 1073741824D / many")).withColumn("lo", each)
+        pivots = pivots.where("lo <> own").select("sig", "sig2", "at", "group", "lo", F.col("lo").alias("hi"), F.col("lo").alias("block"), alone)
+        found = [linked(blocks.union(pivots), "own")]
+        units = _apart(large, _pairs(found[0]), each, ws) if not weight.where("blocks > 1").isEmpty() else None
+        if units is not None:
+            found.append(linked(units, "apart"))
+    table = found[0] if len(found) == 1 else found[0].union(found[1])
+    if figures is not None:
+        counts = table.where("a is null").agg(F.count("*").alias("units"), F.count_if(F.col("sets") > 8).alias("large_units"), *[F.sum(c).alias(c) for c in _LINKED[4:]])
+        figures.update(counts.first().asDict())
+    return _pairs(table)
+
 
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.where("a is not null").select(F.struct(F.col("a").alias("sig"), F.col("a2").alias("sig2")).alias("a"), F.struct(F.col("b").alias("sig"), F.col("b2").alias("sig2")).alias("b"))
 
-def _roots(pairs: DataFrame) -> DataFrame:
-    """(node, root) over the hashes of sets that link with a different set."""
+
+def _apart(large: DataFrame, pairs: DataFrame, each: Column, ws: Workspace) -> DataFrame | None:
+    """Units in which the sets outside their group's main component meet all of its blocks; None if there are none.
+
+    Sets carry the component they are known to be in, so pairs that hang together already are skipped.
+    """
     if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return components(pairs)
+        known = large.withColumn("label", F.struct("sig", "sig2"))
+    else:
+        roots = components(pairs)
+        known = large.join(bounded_broadcast(roots), F.struct("sig", "sig2") == F.col("node"), "left").withColumn("label", F.coalesce("root", F.struct("sig", "sig2"))).drop("node", "root")
+    known = ws.table(known, "known")
+    main = known.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    main = main.where("all > most").select("group", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK_SETS).cast("int").alias("rests"))
+    if (main := ws.table(main, "main")).isEmpty():
+        return None
+    known = known.join(bounded_broadcast(main), "group")
+    part = F.pmod(F.xxhash64("sig", F.lit("rest")), F.col("rests")).cast("int")
+    out = ["sig", "sig2", "at", "group", "lo", "hi", F.lit(0).alias("block"), "label"]
+    rest = known.where("label <> main").withColumn("lo", part).withColumn("hi", each).select(*out)
+    whole = known.withColumn("lo", F.explode(F.expr("sequence(0, rests - 1)"))).withColumn("hi", F.col("own")).select(*out)
+    return whole.union(rest)
 
 
 def _with_links(per: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """``per`` with ``n_links``: the other rows of a row's class and the rows of the classes that it links with."""
-    own = per.where("n > 0").groupBy(F.col("sig").alias("_sig"), F.col("sig2").alias("_sig2")).agg(F.sum("copies").alias("_own"))
-    per = per.join(own, (F.col("n") > 0) & (per.sig == F.col("_sig")) & (per.sig2 == F.col("_sig2")), "left").drop("_sig", "_sig2")
+    own = per.where("n > 0").groupBy(F.col("class").alias("_class")).agg(F.sum("copies").alias("_own"))
+    per = per.join(own, F.col("class") == F.col("_class"), "left").drop("_class")
     more = F.lit(0).cast("long")
     if pairs is not None:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        whole = own.groupBy(F.col("_sig").alias("b")).agg(F.sum("_own").alias("many"))
-        far = both.join(whole, "b").groupBy(F.col("a").alias("_a")).agg(F.sum("many").alias("_far"))
-        per = per.join(far, (F.col("n") > 0) & (per.sig == F.col("_a")), "left").drop("_a")
+        far = both.join(own, F.col("b") == F.col("_class")).groupBy(F.col("a").alias("_a")).agg(F.sum("_own").alias("_far"))
+        per = per.join(far, F.col("class") == F.col("_a"), "left").drop("_a")
         more = F.coalesce("_far", more)
     return per.withColumn("n_links", F.coalesce(F.col("_own") - 1, F.lit(0)) + more).drop("_own", "_far")
 
@@ -287,22 +353,22 @@ def _with_links(per: DataFrame, pairs: DataFrame | None) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each group of linked texts: the one of least doc_id (null last).
 
-    Of rows equal in doc_id and text one stays.  Texts without words are all kept.  All columns come back.
+    Of rows equal in doc_id and text one stays.  Null texts and texts without words are all kept.  All columns come back,
+    whatever their names; an empty table comes back empty.
     """
-    spark = docs.sparkSession
     found = link_components(docs, k, num, den)
     best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
-    ws = Workspace(spark, "keep")
+    ws = Workspace(docs.sparkSession, "keep")
     judged = found.join(best, "component", "left")
     gone = (F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
-    drop = ws.finish(judged.where(F.col("best").isNotNull() & gone).select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")))
+    drop_id, drop_th, mark = (column_name(docs, c) for c in ("drop_id", "drop_th", "mark"))
+    drop = ws.finish(judged.where(F.col("best").isNotNull() & gone).select(F.col("doc_id").alias(drop_id), F.col("th").alias(drop_th)))
     th = F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(bounded_broadcast(drop), docs["doc_id"].cast("long").eqNullSafe(F.col("drop_id")) & (th == F.col("drop_th")), "left_anti")
+    kept = docs.join(bounded_broadcast(drop), docs["doc_id"].cast("long").eqNullSafe(F.col(drop_id)) & (th == F.col(drop_th)), "left_anti")
     again = found.where("copies > 1 and n_shingles > 0")
     if again.isEmpty():
         return kept
-    mark = column_name(docs, "th")
-    return kept.withColumn(mark, F.when(F.length(F.trim("text")) > 0, th)).transform(lambda d: _first_of(d, mark))
+    return kept.withColumn(mark, F.when(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), th)).transform(lambda d: _first_of(d, mark))
 
 
 def _first_of(df: DataFrame, mark: str) -> DataFrame:

@@ -42,7 +42,7 @@ class SignatureTree:
         self.parent = list(range(len(sets)))
         self.whole = [np.zeros(len(x[0]), bool) for x in self.levels]
         self.whole[0][:] = True
-        self.verified = 0
+        self.verified = self.tested = self.pruned = 0
 
     def find(self, x: int) -> int:
         p = self.parent
@@ -83,12 +83,17 @@ class SignatureTree:
         self.link(side, found)
         return [(int(self.order[i]), int(self.order[j])) for i, j in found]
 
-    def link(self, side: np.ndarray | None = None, found: list[tuple[int, int]] | None = None) -> list[int]:
+    def link(self, side: np.ndarray | None = None, found: list[tuple[int, int]] | None = None, known: np.ndarray | None = None) -> list[int]:
         """Roots (indices into the given sets) of all sets; ``side`` restricts links to pairs of unequal side.
 
         With ``side`` the trees of two blocks are traversed against each other: pairs within a block are
         left to the block's own traversal.  With ``found`` no pair is skipped and linked places are added to it.
+        Sets of equal ``known`` hang together from the start.
         """
+        if known is not None:
+            first: dict[int, int] = {}
+            for place, label in enumerate(known[self.order].tolist()):
+                self.parent[place] = first.setdefault(label, place)
         where = None if side is None else side[self.order]
         top = len(self.levels) - 1
         stack = [(top, 0, 0)] if self.sets else []
@@ -114,6 +119,8 @@ class SignatureTree:
                 continue
             a, b = np.array(pairs).T
             keep = self._possible(level - 1, a, b)
+            self.tested += len(keep)
+            self.pruned += len(keep) - int(keep.sum())
             # Within a node first, and neighbours before distant nodes: what merges early prunes later.
             rest = sorted(((x, y) for (x, y), k in zip(pairs, keep.tolist(), strict=True) if k), key=lambda p: (p[0] != p[1], p[1] - p[0]), reverse=True)
             stack += [(level - 1, x, y) for x, y in rest]
