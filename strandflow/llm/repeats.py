@@ -3,11 +3,12 @@
 1. Windows of ``LENGTH`` bytes are owned by anchors: the least hash of the 64-byte strings inside a
    window (winnowing), so equal windows have the same anchor at the same place.  A run of up
    to ``RUN`` windows of one anchor shares a core that all of them contain; the core's hash is the run's
-   key.  Only keys and places travel, and only keys that occur twice go on.
-2. A run whose whole stretch occurs elsewhere is decided.  For the others, stretches of equal key
+   key.  Only keys and places travel, in packed arrays that Spark sorts by stretches of the key space, and only keys that occur twice go on.
+2. A run whose whole stretch occurs elsewhere is decided (key and stretch agree: 128 bits).  For the others, stretches of equal key
    meet and a depth-limited radix sort orders their windows: most-significant-digit passes over eight
    bytes at a time, through ``LENGTH`` bytes and no further; windows that stand alone leave after each pass, and
-   the groups that are left are exactly the repeated windows.
+   the groups that are left are exactly the repeated windows.  A key of very many stretches is split first, into a key
+   for each of its windows' contents: of these the sort has nothing left to order, so only numbers travel and are counted.
 3. Texts that occur in several rows are repeats of each other as a whole; within steps 1 and 2 such a text counts once.
 """
 
@@ -21,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import batches
-from .shingles import _BYTE, mix, powers
-from .workspace import Workspace
+from .arrow import batches, released
+from .ngram_join import packed
+from .shingles import BYTE, BYTE_2, mix, powers
+from .workspace import Workspace, bounded_broadcast
 
 LENGTH, GRAM, RUN = 400, 64, 128
 #: Window starts of a text looked at together.
 SEGMENT = 1 << 20
 #: Runs folded at once by a reducer; stretches sorted at once.
-FOLD, SORT_BYTES = 1_500_000, 8_000_000
-#: Stretches kept for one key when a key has more of them than one sort takes.
+FOLD, SORTBYTES = 1_000_000, 8_000_000
+#: Runs that a task gathers before it deals them out.
+FLUSH = 800_000
+#: A key with more stretches is split by its windows' contents.
 HOT = 20_000
 _U64 = np.uint64
 
@@ -52,7 +56,7 @@ def runs_of(text: bytes) -> np.ndarray:
     for at in range(0, len(text) - LENGTH + 1, SEGMENT):
         arr = np.frombuffer(text, np.uint8, min(SEGMENT + LENGTH - 1, len(text) - at), at)
         up, down = powers(len(arr) + 1)
-        sums = np.concatenate((np.zeros(1, _U64), np.cumsum(_BYTE[arr] * up[: len(arr)], dtype=_U64)))
+        sums = np.concatenate((np.zeros(1, _U64), np.cumsum(BYTE[arr] * up[: len(arr)], dtype=_U64)))
         grams = len(arr) - GRAM + 1
         hashed = mix((sums[GRAM:] - sums[:grams]) * down[:grams])
         least = _sliding_least(hashed & ~_U64((1 << 22) - 1) | np.arange(grams, dtype=_U64), LENGTH - GRAM + 1)
@@ -75,21 +79,28 @@ def runs_of(text: bytes) -> np.ndarray:
 
 def _runs_pass(parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            part, stretch, blobs = zip(*packed(np.concatenate(held), parts), strict=True)
+            held.clear()
+            size = 0
+            return pa.record_batch([pa.array(part, pa.int32()), pa.array(stretch, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "stretch", "runs"])
+
         for batch, texts in batches(it, "text"):
-            seen, rows = set(), []
+            seen = set()
             for th, text in zip(batch.column("th").to_pylist(), texts, strict=True):
                 if len(text) >= LENGTH and th not in seen:
                     seen.add(th)
                     r = runs_of(text)
-                    rows.append(np.concatenate((r, np.full((len(r), 1), th, np.int64).view(_U64)), axis=1))
-            if rows:
-                r = np.concatenate(rows)
-                part = (r[:, 0] >> _U64(32)) * _U64(parts) >> _U64(32)
-                order = np.argsort(part, kind="stable")
-                r = r[order]
-                cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=_U64))
-                some = np.flatnonzero(np.diff(cut))
-                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([r[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "runs"])
+                    held.append(np.concatenate((r, np.full((len(r), 1), th, np.int64).view(_U64)), axis=1))
+                    size += len(r)
+            if size >= FLUSH:
+                yield flush()
+        if size:
+            yield flush()
 
     return run
 
@@ -101,11 +112,12 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs whose key occurs at two places; decided if their whole stretch does.
 
     Between folds four stretches a key are kept at most, so a key of any number of runs takes bounded memory; a later
-    run of a key that was met always goes on, and a stretch that is not among the kept is left to the sort.
+    run of a key that was met always goes on, and a stretch that is not among the kept is left to the sort.  Rows come in
+    order of their stretch of the key space, and what is kept is let go when the next begins.
     """
     kept = np.zeros((0, 6), _U64)
     fresh: list[np.ndarray] = []
-    held = 0
+    held, last = 0, None
 
     def fold() -> pa.RecordBatch:
         nonlocal kept, held
@@ -132,7 +144,11 @@ def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([*(pa.array(np.ascontiguousarray(signed[:, c])) for c in range(5)), pa.array(found[:, 5] == 2)], names=_FOUND)
 
     for batch in it:
-        for blob in batch.column("runs").to_pylist():
+        for stretch, blob in zip(batch.column("stretch").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            if stretch != last:
+                if held:
+                    yield fold()
+                kept, last = kept[:0], stretch
             fresh.append(np.frombuffer(blob, _U64).reshape(-1, 5))
             held += len(fresh[-1])
             if held >= FOLD:
@@ -195,7 +211,7 @@ def _sort_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for row in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "first", "starts", "stretch")), strict=True):
-            if held and row[0] != held[-1][0] and size >= SORT_BYTES:
+            if held and row[0] != held[-1][0] and size >= SORTBYTES:
                 yield sort(held)
                 held, size = [], 0
             if not held or row[:3] != held[-1][:3]:
@@ -205,14 +221,39 @@ def _sort_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort(held)
 
 
+def window_names(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window of a text, of tables of their own."""
+    arr = np.frombuffer(text, np.uint8)
+    up, down = powers(len(arr) + 1)
+    names = []
+    for table in (BYTE, BYTE_2):
+        sums = np.concatenate((np.zeros(1, _U64), np.cumsum(table[arr] * up[: len(arr)], dtype=_U64)))
+        names.append(mix((sums[LENGTH:] - sums[:-LENGTH]) * down[: len(arr) - LENGTH + 1]).view(np.int64))
+    return names[0], names[1]
+
+
 def _cut_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, first, starts, key, stretch) of the wanted runs; of hot ones a row for each window, with its two hashes instead."""
     for batch, texts in batches(it, "text"):
-        rows = [(th, first, starts, key, text[first : first + starts - 1 + LENGTH])
-                for th, text, runs in zip(batch.column("th").to_pylist(), texts, batch.column("runs").to_pylist(), strict=True)
-                for first, starts, key in ((r["first"], r["starts"], r["key"]) for r in runs)]
+        rows, hot = [], []
+        for th, text, runs in zip(batch.column("th").to_pylist(), texts, batch.column("runs").to_pylist(), strict=True):
+            for r in runs:
+                first, starts = r["first"], r["starts"]
+                stretch = text[first : first + starts - 1 + LENGTH]
+                if r["hot"]:
+                    a, b = window_names(stretch)
+                    hot.append(np.stack((np.full(starts, th), first + np.arange(starts), np.ones(starts, np.int64), a, b), axis=1))
+                else:
+                    rows.append((th, first, starts, r["key"], stretch))
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["th", "first", "starts", "key", "stretch"])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.nulls(len(rows), pa.int64()), pa.array(cols[4], pa.binary())], names=_CUT)
+        for at in range(0, len(hot), 500):
+            some = np.concatenate(hot[at : at + 500])
+            yield pa.record_batch([*(pa.array(np.ascontiguousarray(some[:, c])) for c in range(5)), pa.nulls(len(some), pa.binary())], names=_CUT)
+
+
+_CUT = ["th", "first", "starts", "key", "key2", "stretch"]
 
 
 def spans(n: int, whole: bool, runs: list[dict] | None) -> list[tuple[int, int]]:
@@ -254,11 +295,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ws = Workspace(spark, "repeats")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    other = F.xxhash64(F.lit(LENGTH), "text")
     long = text.where(F.octet_length("text") >= LENGTH)
-    twice = ws.table(long.groupBy("th").count().where("count > 1").select("th"), "twice")
-    runs = long.select("th", "text").mapInArrow(_runs_pass(parts), "part int, runs binary")
-    found = ws.table(runs.repartition("part").mapInArrow(_fold, "th long, first long, starts long, key long, whole long, decided boolean"), "found")
+    met = ws.table(long.withColumn("th2", other).groupBy("th").agg(F.count("*").alias("many"), F.min("th2").alias("a"), F.max("th2").alias("b")).where("many > 1"), "met")
+    unlike = met.where("a <> b").select(F.col("th").alias("unlike"))
+    if not unlike.isEmpty():  # different texts of one 64-bit hash: these few take another
+        text = text.join(bounded_broadcast(unlike), F.col("th") == F.col("unlike"), "left").select("doc_id", "text", F.when(F.col("unlike").isNotNull(), other).otherwise(F.col("th")).alias("th"))
+        long = text.where(F.octet_length("text") >= LENGTH)
+        met = long.groupBy("th").agg(F.count("*").alias("many")).where("many > 1")
+    twice = ws.table(met.select("th"), "twice")
+    runs = long.select("th", "text").mapInArrow(released(_runs_pass(parts)), "part int, stretch int, runs binary")
+    dealt = runs.repartition(parts, "part").sortWithinPartitions("stretch", "part")
+    found = ws.table(dealt.mapInArrow(released(_fold), "th long, first long, starts long, key long, whole long, decided boolean"), "found")
     found = found.groupBy("th", "first", "starts", "key", "whole").agg(F.max("decided").alias("decided"))
     found = ws.table(found, "runs")
 
@@ -267,14 +316,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # They are picked before the join, combined map-side: a key may have very many decided runs.
     one = found.where("decided").groupBy("key", "whole").agg(F.min(F.struct("th", "first", "starts")).alias("one"))
     one = one.join(open_runs.select("key").distinct(), "key", "left_semi")
-    needed = ws.table(open_runs.select("key", "th", "first", "starts").union(one.select("key", "one.*")), "needed")
-    keys = needed.groupBy("key").agg(F.count("*").alias("many"))
-    wanted = needed.groupBy("th").agg(F.collect_list(F.struct("first", "starts", "key")).alias("runs"))  # as many as the text is long
-    cut = long.select("th", "text").join(wanted.hint("merge"), "th").mapInArrow(_cut_stretches, "th long, first long, starts long, key long, stretch binary")
-    cut = cut.join(keys, "key")
-    usual = cut.where(f"many <= {HOT}").repartition("key").sortWithinPartitions("key", "th", "first").mapInArrow(_sort_keys, "th long, first long, starts long")
-    found_open = usual.union(_hot_windows(cut.where(f"many > {HOT}")))
-    decided = found.where("decided").select("th", "first", "starts").union(found_open)
+    needed = ws.table(open_runs.select("key", "th", "first", "starts").union(one.select("key", "one.*")).distinct(), "needed")
+    # Counted map-side; at most one of HOT stretches has a key that is split, so these keys are few.
+    hot = ws.table(needed.groupBy("key").count().where(f"count > {HOT}").select(F.col("key").alias("hot_key")), "hot")
+    needed = needed.join(bounded_broadcast(hot), F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
+    wanted = needed.groupBy("th").agg(F.collect_list(F.struct("first", "starts", "key", "hot")).alias("runs"))  # as many as the text is long
+    cut = long.select("th", "text").join(wanted.hint("merge"), "th").mapInArrow(released(_cut_stretches), "th long, first long, starts long, key long, key2 long, stretch binary")
+    if hot.isEmpty():
+        usual, windows = cut, None
+    else:
+        cut = ws.table(cut, "cut")
+        usual, windows = cut.where("key2 is null"), cut.where("key2 is not null").select("th", "first", "starts", "key", "key2").distinct()
+    usual = usual.drop("key2").repartition("key").sortWithinPartitions("key", "th", "first")
+    sorted_out = usual.mapInArrow(released(_sort_keys), "th long, first long, starts long")
+    decided = found.where("decided").select("th", "first", "starts").union(sorted_out)
+    if windows is not None:  # each distinct place of a window: a content met at two of them is repeated
+        many = windows.groupBy("key", "key2").count().where("count > 1").drop("count")
+        decided = decided.union(windows.join(many, ["key", "key2"], "left_semi").select("th", "first", "starts"))
     decided = ws.table(decided.distinct(), "decided")
 
     whole = twice.select("th", F.lit(True).alias("whole"), F.lit(None).cast("struct<first:bigint,starts:bigint>").alias("run"))
@@ -282,17 +340,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     per = ws.table(per, "per")
     # Runs grow with the texts, so the two always meet by shuffle.
     joined = text.join(per.hint("merge"), "th", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
-    out = joined.mapInArrow(_judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_from array<long>, span_upto array<long>")
+    out = joined.mapInArrow(released(_judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_from array<long>, span_upto array<long>")
     return ws.finish(out)
-
-
-def _hot_windows(cut: DataFrame) -> DataFrame:
-    """The same answer for keys of very many stretches: windows of a key are grouped by a hash of their bytes.
-
-    Counting is combined map-side, so no task holds a key's stretches.
-    """
-    once = cut.dropDuplicates(["key", "th", "first"])
-    window = once.select("th", "first", "stretch", F.explode(F.expr("sequence(0L, starts - 1)")).alias("i"))
-    window = window.select("th", (F.col("first") + F.col("i")).alias("first"), F.sha2(F.expr(f"substring(stretch, cast(i + 1 as int), {LENGTH})"), 256).alias("h"))
-    many = window.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return window.join(many, "h", "left_semi").select("th", "first", F.lit(1).cast("long").alias("starts"))

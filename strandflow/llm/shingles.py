@@ -11,8 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 _rng = np.random.default_rng(20260217)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes' numbers for a second hash.
+BYTE_2 = np.random.default_rng(400).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,7 +52,7 @@ def _words_of(arr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), starts
     up, down = powers(len(arr))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[arr] * up, dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[arr] * up, dtype=np.uint64)))
     return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
