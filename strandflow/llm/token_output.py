@@ -23,16 +23,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import batches
+from .arrow import batches, decoded, released
 from .ranking import running
-from .wavelet import WaveletMatrix, build
+from .shingles import BYTE, BYTE_2, mix
+from .wavelet import WaveletMatrix, write
 from .workspace import Workspace
 
-#: Entries of the younger half of a worker's memo of encoded words.
-MEMO = 700_000
+#: Words that the younger half of a worker's memo may hold: about 30 bytes each.
+MEMO = 1_000_000
 #: Bytes of texts whose chunks are numbered together.
 LOT_BYTES = 8_000_000
-_TAIL = b".,!?;:"
+#: Ids of one shard file: about 16 MB for 16-bit ids.
+SHARD_TOKENS = 1 << 23
+_TAIL = ".,!?;:"
+_PLAIN = np.array([chr(c).isalnum() if c < 128 else False for c in range(256)])
+
+
+class Memo:
+    """Ids of words in packed arrays: two hashes of each word, ascending in the first, and where its ids stand."""
+
+    def __init__(self, kind: type):
+        self.keys, self.keys2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, kind)
+
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words are here, their places)."""
+        at = np.minimum(np.searchsorted(self.keys, a), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == a) & (self.keys2[at] == b) if len(self.keys) else np.zeros(len(a), bool)
+        return known, at[known]
+
+    def add(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        start = len(self.ids) + np.cumsum(lengths) - lengths
+        keys = np.concatenate((self.keys, a))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.keys2 = np.concatenate((self.keys2, b))[order]
+        self.start = np.concatenate((self.start, start.astype(np.int32)))[order]
+        self.length = np.concatenate((self.length, lengths.astype(np.int32)))[order]
+        self.ids = np.concatenate((self.ids, ids))
+
+
+def _hashes(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word of a large string array."""
+    at = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, 8 * parts.offset)
+    data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    size = np.diff(at)
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    out = []
+    for base, table in ((0x9E3779B97F4A7C15, BYTE), (0xD1342543DE82EF95, BYTE_2)):
+        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(size.max(initial=0)), base, np.uint64))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * power[place], dtype=np.uint64)))
+        out.append(mix(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64) * np.uint64(base)))
+    return out[0], out[1]
 
 
 class WordEncoder:
@@ -41,7 +84,8 @@ class WordEncoder:
     For such a tokenizer the ids of a text are those of its white-space-separated chunks in order, so each
     distinct chunk is encoded once by the library and remembered.  A run of punctuation after a letter or digit is a
     pre-token of its own, and case is folded by the tokenizer, so ``Word``, ``word`` and ``word,`` share one encoding.
-    Arrow splits the texts and numbers their distinct chunks, so a chunk is looked up once a lot of texts.
+    Arrow splits the texts and numbers their distinct chunks, so a chunk is looked up once a lot of texts.  The memo has two
+    halves of bounded size, of which the older is dropped; a word is known in it by 128 bits of hash.  Malformed UTF-8 reads as U+FFFD.
     """
 
     def __init__(self, path: str):
@@ -56,86 +100,97 @@ class WordEncoder:
             if len(ids) == 1 and self._tokenizer.id_to_token(ids[0]).endswith(suffix):
                 self._mark, self._mark_id = mark.encode(), ids[0]
                 break
-        self._new: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        #: 16 bits an id where all fit.
+        self.kind = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._new, self._old = Memo(self.kind), Memo(self.kind)
 
-    @staticmethod
-    def _parts(chunk: bytes) -> tuple[bytes, bytes]:
-        cut = chunk.rstrip(_TAIL)
-        if len(cut) == len(chunk) or not cut or b"<|" in chunk:
-            return chunk, b""
-        last = cut[-1]
-        if last >= 0x80:
-            char = cut.decode()[-1]
-            plain = char < "ɐ" and unicodedata.category(char.lower()[-1])[0] in "LN"
-        else:
-            plain = cut[-1:].isalnum()
-        return (cut, chunk[len(cut) :]) if plain else (chunk, b"")
-
-    def _encode(self, parts: list[bytes]) -> None:
-        """Encodes parts by the library, a thousand at once with marks between them; those that hold the mark or a special token alone."""
+    def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, lengths, ids) of parts by the library, a thousand at once with marks between them; those that hold the mark or a special token alone."""
+        texts = parts.view(pa.large_binary()).to_pylist()
         mark = self._mark
-        alone = [p for p in parts if mark is None or mark in p or b"<|" in p]
-        apart = set(alone)
-        joined = [p for p in parts if p not in apart] if alone else parts
-        lots = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
+        apart = {i for i, p in enumerate(texts) if mark is None or mark in p or b"<|" in p}
+        joined = [i for i in range(len(texts)) if i not in apart] if apart else list(range(len(texts)))
         sep = b" %b " % (mark or b"")
-        coded = self._tokenizer.encode_batch_fast([(sep.join(x) + sep).decode() for x in lots] + [p.decode() for p in alone], add_special_tokens=False)
-        for lot, e in zip(lots, coded, strict=False):
-            ids = np.array(e.ids, np.uint32)
-            buf = ids.tobytes()
-            ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
-            self._new.update(zip(lot, (buf[i:j] for i, j in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)), strict=True))
-        for p, e in zip(alone, coded[len(lots) :], strict=True):
-            self._new[p] = np.array(e.ids, np.uint32).tobytes()
-
-    def _learn(self, lost: list[bytes]) -> list[bytes]:
-        """The ids of chunks that the younger memo lacks."""
-        new, old = self._new, self._old
-        new[b""] = b""  # white space at a text's edges
-        fresh = [c for c in lost if c not in old]
-        new.update((c, old[c]) for c in lost if c in old)
-        parts = list(map(self._parts, fresh))
-        self._encode([p for p in {p for both in parts for p in both} if p and p not in new])
-        new.update((c, new[base] + new[tail]) for c, (base, tail) in zip(fresh, parts, strict=True) if tail)
-        return list(map(new.__getitem__, lost))
-
-    def _encode_lot(self, texts: list[bytes]) -> list[bytes]:
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
-        numbered = split.flatten().dictionary_encode()
-        chunks = numbered.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        if len(self._new) > MEMO:
-            self._old, self._new = self._new, {}
-        coded = list(map(self._new.get, chunks))
-        lost = [i for i, c in enumerate(coded) if c is None]
-        for i, c in zip(lost, self._learn([chunks[i] for i in lost]), strict=True):
-            coded[i] = c
-        ids = np.frombuffer(b"".join(coded), "<u4")
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        which = numbered.indices.to_numpy()
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[which])))
-        kind = np.int32 if ends[-1] < 2**31 else np.int64  # half the memory unless one text is huge
-        shift = (np.cumsum(lengths) - lengths)[which] - ends[:-1]
-        at = np.repeat(shift.astype(kind), lengths[which])
-        at += np.arange(len(at), dtype=kind)
-        whole = ids[at].tobytes()
-        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
-        return [whole[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        lengths, found = [], []
+        for i in range(0, len(joined), 50_000):
+            lots = [joined[j : j + 1000] for j in range(i, min(i + 50_000, len(joined)), 1000)]
+            for e in self._tokenizer.encode_batch_fast([decoded(sep.join([texts[n] for n in lot]) + sep) for lot in lots], add_special_tokens=False):
+                ids = np.array(e.ids, np.uint32)
+                own = ids != self._mark_id
+                lengths.append(np.diff(np.flatnonzero(~own), prepend=-1) - 1)
+                found.append(ids[own].astype(self.kind))
+        for e in self._tokenizer.encode_batch_fast([decoded(texts[n]) for n in sorted(apart)], add_special_tokens=False):
+            lengths.append(np.array([len(e.ids)]))
+            found.append(np.array(e.ids, self.kind))
+        order = np.array([*joined, *sorted(apart)], np.int64)
+        return order, np.concatenate(lengths or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, self.kind)])
+
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): where the ids of distinct parts stand, from the memo or the library."""
+        if len(self._new.keys) > MEMO:
+            self._old, self._new = self._new, Memo(self.kind)
+        a, b = _hashes(parts)
+        start, length = np.full(len(parts), -1, np.int64), np.zeros(len(parts), np.int64)
+        base, new = 0, self._new
+        stores = [new.ids, self._old.ids]
+        for memo in (new, self._old):
+            lost = np.flatnonzero(start < 0)
+            known, at = memo.look_up(a[lost], b[lost])
+            start[lost[known]], length[lost[known]] = base + memo.start[at], memo.length[at]
+            base += len(memo.ids)
+        lost = np.flatnonzero(start < 0)
+        if len(lost):
+            order, lengths, ids = self._encode(parts.take(pa.array(lost)))
+            lost = lost[order]
+            start[lost], length[lost] = base + np.cumsum(lengths) - lengths, lengths
+            new.add(a[lost], b[lost], lengths, ids)
+            stores.append(ids)
+        return np.concatenate(stores), start, length
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers.
+    @staticmethod
+    def _split(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The chunks without their punctuation at the end, and that; where it is no pre-token of its own, the whole chunk and nothing."""
+        cut = pc.ascii_rtrim(chunks, characters=_TAIL)
+        whole, short = pc.binary_length(chunks).to_numpy(), pc.binary_length(cut).to_numpy()
+        begin = np.frombuffer(cut.buffers()[1], np.int64, len(cut) + 1, 8 * cut.offset)
+        data = np.frombuffer(cut.buffers()[2] or b"", np.uint8)
+        maybe = np.flatnonzero((short < whole) & (short > 0))
+        last = data[begin[maybe + 1] - 1]
+        plain = _PLAIN[last]
+        for n in np.flatnonzero(last >= 0x80).tolist():
+            char = decoded(cut[int(maybe[n])].as_buffer().to_pybytes())[-1]
+            plain[n] = char < "\u0250" and unicodedata.category(char.lower()[-1])[0] in "LN"
+        good = np.zeros(len(chunks), bool)
+        good[maybe[plain]] = True
+        good &= ~pc.match_substring(chunks, "<|").to_numpy(zero_copy_only=False)
+        size = np.where(good, whole - short, 0)
+        begin = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, 8 * chunks.offset)
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        at = np.repeat(begin[1:] - ends[1:], size) + np.arange(ends[-1])
+        tails = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[at].tobytes()))
+        return pc.if_else(pa.array(good), cut, chunks), tails
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, where each text's begin and the last one's end).
 
         The tokenizer folds case itself; folding A-Z first makes fewer distinct chunks.  It changes nothing unless a combining mark
         (lead bytes CC and CD) makes one character of a letter and itself, or a special token is spelt in the text.
         """
         folded = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
-        out, start, size = [], 0, 0
-        for i, t in enumerate(folded):
-            size += len(t)
-            if size >= LOT_BYTES or i + 1 == len(folded):
-                out += self._encode_lot(folded[start : i + 1])
-                start, size = i + 1, 0
-        return out
+        split = pc.ascii_split_whitespace(pa.array(folded, pa.large_binary()).view(pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        base, tail = self._split(numbered.dictionary)
+        parts = pa.concat_arrays([base, tail]).dictionary_encode()
+        ids, start, lengths = self._ids_of(parts.dictionary)
+        two = parts.indices.to_numpy().reshape(2, -1)  # a chunk's parts
+        which = two[:, numbered.indices.to_numpy()].T.ravel()
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[which])))
+        small = np.int32 if ends[-1] < 2**31 else np.int64  # half the memory unless one text is huge
+        shift = start[which] - ends[:-1]
+        at = np.repeat(shift.astype(small), lengths[which])
+        at += np.arange(len(at), dtype=small)
+        return ids[at], ends[2 * split.offsets.to_numpy()]
 
 
 @lru_cache(2)
@@ -151,55 +206,67 @@ def _write(path: str, folder: str, end: int, shard_tokens: int):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        stop = np.array([end], "<u4").tobytes()
-        ids: list[bytes] = []
+        kind = encoder(path).kind if end < 1 << 16 else np.uint32
+        buffer = np.empty(0, kind)
         docs: list[int | None] = []
+        lengths: list[int] = []
         made: list[tuple] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
             name = f"{root}/{part:06d}-{len(made):06d}-{uuid.uuid4().hex}.wvm"
             with store.open_output_stream(name) as out:
-                out.write(build(np.frombuffer(b"".join(ids), "<u4"), docs, lengths))
-            made.append((part, len(made), name, int(lengths.sum()), len(docs)))
-            ids.clear()
+                write(out, buffer[:held], docs, np.array(lengths, np.int64))
+            made.append((part, len(made), name, held, len(docs)))
             docs.clear()
+            lengths.clear()
             held = 0
 
         for batch, texts in batches(it, "text", LOT_BYTES):
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(texts), strict=True):
-                ids.append(coded + stop)
-                docs.append(doc)
-                held += len(ids[-1]) // 4
-                if held >= shard_tokens:
+            ids, edges = encoder(path).encode(texts)
+            for n, (doc, a, b) in enumerate(zip(batch.column("doc_id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                size = b - a + 1
+                if held and held + size > shard_tokens:
                     flush()
+                if held + size > len(buffer):
+                    # As large as the rest of the lot makes it, a whole shard at most unless one document is longer.
+                    rest = max(held + size, min(shard_tokens, 2 * (held + len(ids) - a + len(texts) - n)))
+                    buffer = np.concatenate((buffer[:held], np.empty(rest - held, kind)))
+                buffer[held : held + size - 1] = ids[a:b]
+                buffer[held + size - 1] = end
+                docs.append(doc)
+                lengths.append(size)
+                held += size
         if docs:
             flush()
         if made:
             yield pa.record_batch([pa.array(x) for x in zip(*made, strict=True)], names=["part", "seq", "path", "tokens", "docs"])
 
-    return run
+    return released(run)
 
 
 def _read(folder: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
         for batch in it:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                with store.open_input_stream(path) as f:
-                    matrix = WaveletMatrix(f.read())
-                ids = memoryview(matrix.decode().astype("<u4", copy=False)).cast("B")
+                matrix = _open(folder, path)
+                ids = matrix.decode()
                 ends = np.cumsum(matrix.lengths)
                 starts = ends - matrix.lengths
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(matrix.doc_ids, pa.int64()), pa.array(starts + base), pa.array(matrix.lengths), pa.array(crc, pa.int64()), pa.array([path] * len(crc))], names=["doc_id", "start", "n_tokens", "ids_crc32", "path"])
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(matrix.doc_ids, pa.int64()), pa.array(starts + base), pa.array(matrix.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return released(run)
 
-    return run
 
+def _open(folder: str, path: str) -> WaveletMatrix:
+    store, _ = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(path) as f:
+        return WaveletMatrix(f.read())
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, shard_tokens: int = 1 << 23) -> DataFrame:
+
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shard files; returns the lazy manifest (part, seq, path, tokens, docs).
 
     Texts are encoded whole (null: empty), each followed by the id ``end``; documents stand in ascending doc_id
@@ -207,18 +274,53 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, sha
     a URI that pyarrow can write and all executors share.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))  # so that very many rows of one id, or of none, are dealt out too
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ordered.mapInArrow(_write(tokenizer, folder, end, shard_tokens), "part long, seq long, path string, tokens long, docs long")
 
 
-def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, path) of each document, from the shard files of a written manifest."""
+def _placed(manifest: DataFrame) -> DataFrame:
+    """(path, base): each file with the number of ids before it; a partition a file."""
     based = running(manifest, [], "part", ["seq"], F.col("tokens"), "base")
-    files = max(1, manifest.count())
-    return based.select("path", "base").repartition(files, "path").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return based.select("path", "base").repartition(max(1, manifest.count()), "path")
+
+
+def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the shard files of a written manifest."""
+    return _placed(manifest).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def find_tokens(manifest: DataFrame, folder: str, tokens: list[int], most: int = 10) -> DataFrame:
+    """(token, path, n, places): each token's count in each shard file, and its first ``most`` places among all ids.
+
+    Answered by rank and select on the compressed files, without decoding them; files without the token give no row.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                matrix = _open(folder, path)
+                rows = [(t, path, n, [base + matrix.occurrence(t, k) for k in range(min(n, most))]) for t in dict.fromkeys(tokens) if (n := matrix.count(t))]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["token", "path", "n", "places"])
+
+    return _placed(manifest).mapInArrow(released(run), "token long, path string, n long, places array<long>")
+
+
+def tokens_at(manifest: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+    """(place, token) of a table ``place`` of places among all ids, by access on the compressed files; places beyond the end give no row."""
+    files = running(manifest, [], "part", ["seq"], F.col("tokens"), "base").select("path", "base", "tokens")
+    asked = places.select(F.col("place").cast("long").alias("place")).join(F.broadcast(files) if manifest.count() <= 100_000 else files, F.expr("place >= base and place < base + tokens"))
+
+    def run(table: pa.Table) -> pa.Table:
+        matrix = _open(folder, table.column("path")[0].as_py())
+        at = table.column("place").to_pylist()
+        return pa.table({"place": pa.array(at, pa.int64()), "token": pa.array([matrix.access(p - b) for p, b in zip(at, table.column("base").to_pylist(), strict=True)], pa.int64())})
+
+    return asked.groupBy("path").applyInArrow(run, "place long, token long")
 
 
-def token_index(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 << 23) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes ``docs`` as shard files in the shared folder, reads them back, and returns what ``read_tokens`` finds.
 
     Null or empty texts have the one id ``end``; an empty table gives an empty result.  The files go once they were read:

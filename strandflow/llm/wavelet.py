@@ -9,36 +9,58 @@ touches one or two blocks a plane, whatever the file's length.
 
 from __future__ import annotations
 
+import io
 import struct
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 import zstandard
 
 MAGIC = b"WVLTMTX1"
 BLOCK_BITS = 1 << 16
+#: Ids worked on at once while a file is made: whole blocks.
+PIECE = 16 * BLOCK_BITS
 _HEAD = struct.Struct("<8sQQI")
 
 
-def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """The file for the concatenated ids of documents with the given ids and lengths."""
-    width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    cur = ids.astype(np.uint16 if width <= 16 else np.uint32)
+def write(out: BinaryIO, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> None:
+    """Writes the file for the concatenated ids of documents with the given ids and lengths; ``ids`` is used as scratch.
+
+    Two buffers of the ids' size take turns, and all else is done a piece at a time.
+    """
+    n, width = len(ids), max(1, int(ids.max()).bit_length()) if len(ids) else 1
     pack = zstandard.ZstdCompressor(level=1)
     null = np.array([d is None for d in doc_ids], np.uint8)
-    table = np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes() + null.tobytes() + lengths.astype(np.int64).tobytes()
-    table = pack.compress(table)
-    parts = [_HEAD.pack(MAGIC, len(ids), len(doc_ids), width), struct.pack("<Q", len(table)), table]
-    for b in range(width - 1, -1, -1):
-        bit = (cur >> b & 1).astype(bool)
-        cur = np.concatenate((cur[~bit], cur[bit]))
-        bits = np.packbits(bit, bitorder="little")
-        blocks = [bits[i : i + BLOCK_BITS // 8] for i in range(0, len(bits), BLOCK_BITS // 8)]
-        ones = np.concatenate(([0], np.cumsum([int(np.bitwise_count(x).sum(dtype=np.int64)) for x in blocks]))).astype(np.uint64)
-        packed = [pack.compress(x.tobytes()) for x in blocks]
-        sizes = np.array([len(x) for x in packed], np.uint64)
-        parts += [ones.tobytes(), sizes.tobytes(), *packed]
-    return b"".join(parts)
+    table = pack.compress(np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes() + null.tobytes() + lengths.astype(np.int64).tobytes())
+    out.write(_HEAD.pack(MAGIC, n, len(doc_ids), width) + struct.pack("<Q", len(table)) + table)
+    cur, other = ids, np.empty_like(ids)
+    for plane in range(width - 1, -1, -1):
+        bit_of = lambda at: (cur[at : at + PIECE] >> plane & 1).astype(bool)  # noqa: B023, E731
+        ones, packed = [0], []
+        zero, one = 0, n - sum(int(np.count_nonzero(bit_of(at))) for at in range(0, n, PIECE))
+        for at in range(0, n, PIECE):
+            bit, piece = bit_of(at), cur[at : at + PIECE]
+            for values, left in ((piece[~bit], True), (piece[bit], False)):
+                begin = zero if left else one
+                other[begin : begin + len(values)] = values
+                zero, one = (zero + len(values), one) if left else (zero, one + len(values))
+            bits = np.packbits(bit, bitorder="little")
+            for i in range(0, len(bits), BLOCK_BITS // 8):
+                block = bits[i : i + BLOCK_BITS // 8]
+                ones.append(ones[-1] + int(np.bitwise_count(block).sum(dtype=np.int64)))
+                packed.append(pack.compress(block.tobytes()))
+        out.write(np.array(ones, np.uint64).tobytes() + np.array([len(x) for x in packed], np.uint64).tobytes())
+        for block in packed:
+            out.write(block)
+        cur, other = other, cur
+
+
+def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    """The file as bytes; ``ids`` stay as they are."""
+    out = io.BytesIO()
+    write(out, np.array(ids, np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32), doc_ids, lengths)
+    return out.getvalue()
 
 
 class WaveletMatrix:
@@ -133,14 +155,21 @@ class WaveletMatrix:
         return i
 
     def decode(self) -> np.ndarray:
-        """All ids, by undoing the splits from the last plane up."""
+        """All ids (16 bits each if they fit), by undoing the splits from the last plane up."""
         kind = np.uint16 if self.width <= 16 else np.uint32
-        cur = np.zeros(self.n, kind)
+        cur, before = np.zeros(self.n, kind), np.empty(self.n, kind)
         for plane in range(self.width - 1, -1, -1):
-            packed = [self._read_block(plane, b) for b in range(len(self._ones[plane]) - 1)]
-            bit = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), bitorder="little")[: self.n].astype(bool)
-            before = np.empty(self.n, kind)
-            before[~bit] = cur[: self._zeros[plane]]
-            before[bit] = cur[self._zeros[plane] :] | kind(1 << (self.width - 1 - plane))
-            cur = before
-        return cur.astype(np.uint32)
+            value, zero, one = kind(1 << (self.width - 1 - plane)), 0, self._zeros[plane]
+            step = PIECE // BLOCK_BITS
+            for first in range(0, len(self._ones[plane]) - 1, step):
+                at = first * BLOCK_BITS
+                packed = [self._read_block(plane, block) for block in range(first, min(first + step, len(self._ones[plane]) - 1))]
+                bit = np.unpackbits(np.concatenate(packed), bitorder="little")[: self.n - at]
+                above = np.cumsum(bit, dtype=np.int32)
+                many = int(above[-1])
+                # A one is the next of the ones, a zero the next of the zeros.
+                place = np.where(bit, one - 1 + above, zero - above + np.arange(len(bit), dtype=np.int32))
+                before[at : at + len(bit)] = cur[place] | bit * value
+                zero, one = zero + len(bit) - many, one + many
+            cur, before = before, cur
+        return cur
