@@ -14,8 +14,9 @@
 3. In each group a signature tree (``sigtree``) finds the links exactly.  Groups above a
    block's size are cut into blocks.  Each block is traversed together with the group's pivots, a few sets of
    every group that all of its blocks get; that joins nearly all of a group of near copies.  What is left outside
-   the group's main component then meets all blocks, and pairs that already hang together are skipped, so the work
-   grows with the group and not with its square unless most of it stays apart.
+   the group's main component then meets all blocks, in a traversal of bitmaps alone, a few bytes a shingle, that skips what already hangs
+   together; the pairs that it leaves are verified by their shingles.  So the shingles that travel grow with the
+   group; the bitmaps grow with its square only if most of it stays apart.
 
 A set is known by 128 bits wherever links are made; candidate groups use 64, which at worst adds candidates.
 """
@@ -23,6 +24,7 @@ A set is known by 128 bits wherever links are made; candidate groups use 64, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .arrow import batches, released
 from .components import components
 from .shingles import mix, shingle_sets
-from .sigtree import SignatureTree
+from .sigtree import SignatureTree, bitmap, candidates
 from .workspace import Workspace, bounded_broadcast, column_name
 
 #: Size slots grow by this factor.
@@ -45,6 +47,8 @@ FOLD, STRETCHES = 1_000_000, 16
 FLUSH = 2_000_000
 #: Sets and shingles in one block of a candidate group.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 3_000_000
+#: Pairs that one task verifies.
+VERIFY = 2000
 #: Pivots of a group of several blocks, on average.
 PIVOTS = 64
 _U64 = np.uint64
@@ -221,6 +225,52 @@ def _link_unit(num: int, den: int, every: bool):
     return run
 
 
+def _map_pass(k: int):
+    """A row for each set and unit with the set's bitmap, of the width that the unit asks for."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(it, "text"):
+            rows = []
+            for s, sig, sig2, units in zip(shingle_sets(texts, k), *(batch.column(c).to_pylist() for c in ("sig", "sig2", "units")), strict=True):
+                maps: dict[int, bytes] = {}
+                for u in units:
+                    bits = u["block"]
+                    if bits not in maps:
+                        maps[bits] = bitmap(s, bits).tobytes()
+                    rows.append((u["group"], u["lo"], u["hi"], sig, sig2, u["label"]["sig"], u["label"]["sig2"], len(s), maps[bits]))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_MAPPED)
+
+    return released(run)
+
+
+_MAPPED = ["group", "lo", "hi", "sig", "sig2", "label", "label2", "n", "map"]
+
+
+def _maybe_unit(num: int, den: int):
+    """Pairs of sets of a unit that its bitmaps leave, with their labels, and a last row of counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        name = np.stack([table.column(c).to_numpy() for c in ("sig", "sig2")], axis=1)
+        label = np.stack([table.column(c).to_numpy() for c in ("label", "label2")], axis=1)
+        _, once = np.unique(name, axis=0, return_index=True)
+        name, label = name[once], label[once]
+        maps = np.stack([np.frombuffer(table.column("map")[int(i)].as_buffer(), _U64) for i in once])
+        _, known = np.unique(label, axis=0, return_inverse=True)
+        pairs, tested, pruned = candidates(maps, table.column("n").to_numpy()[once], known.ravel(), num, den)
+        i, j = pairs.T
+        cols = np.concatenate((np.concatenate((name[i], label[i], name[j], label[j], np.zeros((len(i), 3), np.int64)), axis=1), np.array([[0] * 8 + [len(once), tested, pruned]])))
+        real = np.arange(len(cols)) < len(i)
+        group = pa.array(np.full(len(cols), table.column("group")[0].as_py()))
+        return pa.table({"group": group} | {c: pa.array(cols[:, n], mask=~real if n < 8 else None) for n, c in enumerate(_MAYBE[1:])})
+
+    return run
+
+
+_MAYBE = ["group", "a", "a2", "la", "la2", "b", "b2", "lb", "lb2", "sets", "tested", "pruned"]
+
+
 def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, partitions: int | None = None, links: bool = False, figures: dict[str, int] | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) -> (doc_id, th, n_shingles, component_id, component, copies), checkpointed.
 
@@ -272,23 +322,31 @@ def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int,
     member = rows.where("n > 0").join(bounded_broadcast(inside), "sig").groupBy("sig", "sig2", "group").agg(F.min(F.struct("th", "doc_id")).alias("at"), F.first("n").alias("n"))
     member = ws.table(member, "members")
     weight = member.groupBy("group").agg(
-        F.count("*").alias("many"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.count("*").alias("many"), F.max("n").alias("largest"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     weight = ws.table(weight, "weights")
     own = F.pmod(F.xxhash64("sig", "n"), F.col("blocks")).cast("int")
     placed = member.join(weight, "group").withColumn("own", own)
 
-    def linked(units: DataFrame, name: str) -> DataFrame:
-        """``units`` has a row for each set and unit: group, lo, hi, block, label, and the set's place in the texts."""
+    def sets_of(units: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """(sig, sig2, units, text) of ``units``, which has a row for each set and unit: group, lo, hi, block, label, and the set's place in the texts."""
         # A set lies in few groups and units: its text is hashed once for all of them.
         here = units.groupBy("sig", "sig2", F.col("at.th").alias("mth"), F.col("at.doc_id").alias("mid")).agg(F.collect_list(F.struct("group", "lo", "hi", "block", "label")).alias("units"))
         here = ws.table(here, f"here-{name}")
-        wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).dropDuplicates(["sig", "sig2"]).select("sig", "sig2", "units", "text")
-        kind = here.schema["units"].dataType.simpleString()
+        wanted = text.join(bounded_broadcast(here), (text.th == F.col("mth")) & text.doc_id.eqNullSafe(F.col("mid"))).dropDuplicates(["sig", "sig2"])
+        return wanted.select("sig", "sig2", "units", "text"), here.schema["units"].dataType.simpleString()
+
+    def linked(units: DataFrame, name: str) -> DataFrame:
+        wanted, kind = sets_of(units, name)
         sets = wanted.mapInArrow(_shingle_pass(k), f"sig long, sig2 long, units {kind}, tokens binary").select("sig", "sig2", "tokens", F.inline("units"))
         sets = sets.select("group", "lo", "hi", "block", "sig", "sig2", F.col("label.sig").alias("label"), F.col("label.sig2").alias("label2"), "tokens")
         return ws.table(sets.groupBy("group", "lo", "hi").applyInArrow(_link_unit(num, den, every), _LINKED_TYPE), f"links-{name}")
 
+    def left_by_maps(units: DataFrame) -> DataFrame:
+        wanted, _ = sets_of(units, "maps")
+        maps = wanted.mapInArrow(_map_pass(k), "group long, lo int, hi int, sig long, sig2 long, label long, label2 long, n long, map binary")
+        return ws.table(maps.groupBy("group", "lo", "hi").applyInArrow(_maybe_unit(num, den), ", ".join(f"{c} long" for c in _MAYBE)), "maybe")
+
     alone = F.struct("sig", "sig2").alias("label")
     each = F.explode(F.expr("sequence(0, blocks - 1)"))
     if every:  # a block against itself or against another
@@ -302,14 +360,27 @@ def _links(text: DataFrame, rows: DataFrame, edges: DataFrame, k: int, num: int,
         found = [linked(blocks.union(pivots), "own")]
         units = _apart(large, _pairs(found[0]), each, ws) if not weight.where("blocks > 1").isEmpty() else None
         if units is not None:
-            found.append(linked(units, "apart"))
-    table = found[0] if len(found) == 1 else found[0].union(found[1])
+            maybe = left_by_maps(units)
+            found.append(maybe.where("a is null").select(*[F.lit(None).cast("long").alias(c) for c in _LINKED[:4]], "sets", "tested", "pruned", F.lit(0).cast("long").alias("verified")))
+            if not (pairs := maybe.where("a is not null")).isEmpty():
+                found.append(linked(_verify_units(pairs, member, ws), "apart"))
+    table = reduce(DataFrame.union, found)
     if figures is not None:
         counts = table.where("a is null").agg(F.count("*").alias("units"), F.count_if(F.col("sets") > 8).alias("large_units"), *[F.sum(c).alias(c) for c in _LINKED[4:]])
         figures.update(counts.first().asDict())
     return _pairs(table)
 
 
+def _verify_units(maybe: DataFrame, member: DataFrame, ws: Workspace) -> DataFrame:
+    """Units of about ``VERIFY`` pairs of a group, with both sets of each pair."""
+    lots = maybe.groupBy("group").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("lots"))
+    lot = F.pmod(F.xxhash64("a", "a2", "b", "b2"), F.col("lots")).cast("int").alias("lo")
+    pairs = maybe.join(bounded_broadcast(ws.table(lots, "lots")), "group")
+    side = lambda x: pairs.select("group", lot, F.col(x).alias("sig"), F.col(f"{x}2").alias("sig2"), F.struct(F.col(f"l{x}").alias("sig"), F.col(f"l{x}2").alias("sig2")).alias("label"))
+    ends = side("a").union(side("b")).distinct()
+    return ends.join(member.select("group", "sig", "sig2", "at"), ["group", "sig", "sig2"]).select("sig", "sig2", "at", "group", "lo", F.col("lo").alias("hi"), F.lit(0).alias("block"), "label")
+
+
 def _pairs(links: DataFrame) -> DataFrame:
     return links.where("a is not null").select(F.struct(F.col("a").alias("sig"), F.col("a2").alias("sig2")).alias("a"), F.struct(F.col("b").alias("sig"), F.col("b2").alias("sig2")).alias("b"))
 
@@ -331,7 +402,9 @@ def _apart(large: DataFrame, pairs: DataFrame, each: Column, ws: Workspace) -> D
         return None
     known = known.join(bounded_broadcast(main), "group")
     part = F.pmod(F.xxhash64("sig", F.lit("rest")), F.col("rests")).cast("int")
-    out = ["sig", "sig2", "at", "group", "lo", "hi", F.lit(0).alias("block"), "label"]
+    # Four bits a shingle of the group's largest set, a power of two: the bitmaps' width.
+    bits = F.least(F.lit(16384), F.greatest(F.lit(256), F.pow(F.lit(2), F.ceil(F.log2(4 * F.col("largest"))))))
+    out = ["sig", "sig2", "at", "group", "lo", "hi", bits.cast("int").alias("block"), "label"]
     rest = known.where("label <> main").withColumn("lo", part).withColumn("hi", each).select(*out)
     whole = known.withColumn("lo", F.explode(F.expr("sequence(0, rests - 1)"))).withColumn("hi", F.col("own")).select(*out)
     return whole.union(rest)

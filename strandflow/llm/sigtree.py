@@ -17,6 +17,69 @@ import numpy as np
 FANOUT = 8
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """A set's signature: a bit for each token hash."""
+    out = np.zeros(bits // 64, np.uint64)
+    bit = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (bits.bit_length() - 1))
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def levels(maps: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bitmaps, least size, largest size, largest excess) of the nodes of each level, leaves first."""
+    out = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
+    while len(out[-1][0]) > 1:
+        m, lo, hi, ex = out[-1]
+        cut = np.arange(0, len(m), FANOUT)
+        out.append((np.bitwise_or.reduceat(m, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut)))
+    return out
+
+
+def possible(level: tuple, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of a level's nodes may hold a link: by sizes, then by the largest overlap that the bitmaps allow."""
+    maps, lo, hi, ex = level
+    good = (den * hi[a] >= num * lo[b]) & (den * hi[b] >= num * lo[a])
+    some, lot = np.flatnonzero(good), max(256, (1 << 20) // max(1, maps.shape[1]))
+    for at in range(0, len(some), lot):
+        n = some[at : at + lot]
+        x, y = a[n], b[n]
+        most = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(ex[x], ex[y])
+        good[n] = (num + den) * np.minimum(most, np.minimum(hi[x], hi[y])) >= num * (lo[x] + lo[y])
+    return good
+
+
+def candidates(maps: np.ndarray, sizes: np.ndarray, known: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """(pairs, tested, pruned): the pairs of sets that hang together in no known component and that the tree's bounds leave.
+
+    All pairs of nodes of a level are tested at once; nothing is merged on the way.
+    """
+    order = np.lexsort((sizes, known))  # members of a component become neighbours
+    tree, label = levels(maps[order], sizes[order]), known[order]
+    ones = [label]
+    for _ in tree[1:]:
+        cut = np.arange(0, len(ones[-1]), FANOUT)
+        low, high = np.minimum.reduceat(ones[-1], cut), np.maximum.reduceat(ones[-1], cut)
+        ones.append(np.where((low == high) & (low >= 0), low, -1))
+    a, b, tested, pruned = np.zeros(1, np.int64), np.zeros(1, np.int64), 0, 0
+    for depth in range(len(tree) - 2, -1, -1):
+        below, n = [], len(tree[depth][0])
+        for at in range(0, len(a), 20_000):
+            step = np.arange(FANOUT)
+            x = np.repeat(a[at : at + 20_000, None] * FANOUT + step, FANOUT, axis=1).ravel()
+            y = np.tile(b[at : at + 20_000, None] * FANOUT + step, (1, FANOUT)).ravel()
+            real = (x < n) & (y < n) & ((x < y) if depth == 0 else (x <= y))
+            x, y = x[real], y[real]
+            apart = (ones[depth][x] != ones[depth][y]) | (ones[depth][x] < 0)
+            x, y = x[apart], y[apart]
+            keep = possible(tree[depth], x, y, num, den)
+            tested, pruned = tested + len(keep), pruned + len(keep) - int(keep.sum())
+            below.append(np.stack((x[keep], y[keep])))
+        a, b = np.concatenate(below, axis=1)
+    if len(tree) == 1:
+        a = b = np.zeros(0, np.int64)
+    return np.stack((order[a], order[b]), axis=1), tested, pruned
+
+
 class SignatureTree:
     """Tree over distinct sorted uint64 sets; ``num``/``den`` is the Jaccard threshold."""
 
@@ -28,17 +91,8 @@ class SignatureTree:
         bits = 256
         while bits < 16384 and bits < 4 * (np.median(sizes) if len(sizes) else 1):
             bits *= 2
-        maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, s in enumerate(self.sets):
-            bit = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (bits.bit_length() - 1))
-            np.bitwise_or.at(maps[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        sizes = sizes[order]
-        excess = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, sizes, sizes, excess)]
-        while len(self.levels[-1][0]) > 1:
-            m, lo, hi, ex = self.levels[-1]
-            cut = np.arange(0, len(m), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(m, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut)))
+        maps = np.stack([bitmap(s, bits) for s in self.sets]) if len(sets) else np.zeros((0, bits // 64), np.uint64)
+        self.levels = levels(maps, sizes[order])
         self.parent = list(range(len(sets)))
         self.whole = [np.zeros(len(x[0]), bool) for x in self.levels]
         self.whole[0][:] = True
@@ -65,10 +119,7 @@ class SignatureTree:
         return -1
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        maps, lo, hi, ex = self.levels[level]
-        most = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(ex[a], ex[b])
-        most = np.minimum(most, np.minimum(hi[a], hi[b]))
-        return ((self.num + self.den) * most >= self.num * (lo[a] + lo[b])) & (self.den * hi[a] >= self.num * lo[b]) & (self.den * hi[b] >= self.num * lo[a])
+        return possible(self.levels[level], a, b, self.num, self.den)
 
     def _linked(self, i: int, j: int) -> bool:
         self.verified += 1

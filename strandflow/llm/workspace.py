@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 
 #: Rows of at most a few longs each that may be broadcast (about 40 MB as a hash table).
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that workers get, unless the session has a lower bound: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; also makes sure ``checkpoint()`` has one."""
+    bounded_batches(spark)
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
