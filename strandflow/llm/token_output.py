@@ -32,7 +32,7 @@ from .workspace import Workspace
 #: Words that the younger half of a worker's memo may hold: about 30 bytes each.
 MEMO = 1_000_000
 #: Bytes of texts whose chunks are numbered together.
-LOT_BYTES = 8_000_000
+LOT_BYTES = 4_000_000
 #: Ids of one shard file: about 16 MB for 16-bit ids.
 SHARD_TOKENS = 1 << 23
 _TAIL = ".,!?;:"
