@@ -2,29 +2,33 @@
 
 A source's documents stand in the order of a seeded hash and their words are packed into
 blocks of fixed length.  The mix is a number of output shards, each with the same number of
-slots; every shard draws its multinomial source counts by stratified uniforms (one draw a slot, one in
-each of the shard's equal strata, so a count strays from its mean by less than one).  A
-source's k-th slot takes block ``(p * i + o) mod n`` of its n blocks, with ``i = k mod n``,
-``p`` a prime that does not divide n and ``o`` an offset of the pass ``k div n``: a
-permutation of the indices, anew in each pass.  Slots and blocks meet by an equi-join on
+slots.  Every slot draws its source by a hash of its own number, in proportion to the slots
+that the sources want, so a shard's counts are multinomial and a source's total strays from its target as such counts do.
+A source's k-th slot takes block ``P(i)`` of its n blocks, with ``i = k mod n`` and ``P`` a
+Feistel permutation of 0 to n-1, anew in each pass ``k div n``.  Slots and blocks meet by an equi-join on
 (source, block).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import hash_bucket, running
-from .workspace import Workspace, column_name
+from .workspace import Workspace, bounded_broadcast, column_name
 
 SEED = 20_260_217
 #: A source stops at this many times its size.
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: The primes that may step through a source's blocks. Their product exceeds any
-#: block count, so at least one never divides it.
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
+#: Half rounds of the permutation.
+ROUNDS = 6
+#: Draws are whole numbers of so many bits; so many of their top bits name a cell of the table of sources.
+DRAW_BITS, CELL_BITS = 52, 12
+#: Slots that one task draws or places.
+TASK_SLOTS = 1 << 19
+#: Steps of cycle walking.
+WALK = 40
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -70,14 +74,14 @@ def plan_mix(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int
     placed = running(rows, ["source"], "b", ["h", "doc_id", "size", "th"], F.col("size"), "at")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
 
-    # A row of the draw becomes up to ``slots`` rows: spread them first, and never take them for a small table.
-    drawn = ws.table(_draw(targets, block, slots, seed), "draw").repartition("source", "shard")
+    drawn, parts = _draw(targets, block, slots, seed, ws)
     taken = (
-        drawn.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-        .withColumn("k", F.col("first") + F.col("i"))
+        drawn.repartition(parts, "source", "shard")  # a row becomes up to ``slots`` rows: spread them first, by a number that nothing coalesces
+        .withColumn("k", F.explode(F.expr("sequence(first, first + count - 1)")))
         .where(f"k < {MOST} * blocks")
-        .selectExpr("source", "blocks", "step", "k div blocks AS pass", "k % blocks AS i")
-        .select("source", "pass", F.expr(f"(step * i + pmod(xxhash64({seed}, source, pass), blocks)) % blocks").alias("block"))
+        .selectExpr("source", "blocks", "k div blocks AS pass", "k % blocks AS i", f"xxhash64(key, k div blocks, {seed}) AS round_key")
+        .transform(lambda d: permuted(d, "i", "blocks", "round_key", "block"))
+        .select("source", "pass", "block")
     )
     uses = taken.groupBy("source", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes"))  # MOST entries at most
 
@@ -99,53 +103,97 @@ def plan_mix(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int
     return ws.finish(out.select("doc_id", "th", "size", "source", "source_size", "target", "at", F.coalesce("pieces", none).alias("pieces")))
 
 
-def _draw(targets: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
-    """Slots of each source in each output shard: (source, blocks, step, count, first)."""
+def _draw(targets: DataFrame, block: int, slots: int, seed: int, ws: Workspace) -> tuple[DataFrame, int]:
+    """(source, key, blocks, shard, count, first) of the slots of each source in each output shard, and the tasks that all slots are worth.
+
+    A source owns a stretch of the whole numbers of ``DRAW_BITS`` bits, as long as its share of the slots; a slot's hash falls
+    into one of them.  Stretches are looked up by the cells they touch: an equi-join with about one row a slot.
+    """
+    spark = targets.sparkSession
     whole = Window.partitionBy(F.lit(0))
     by_name = whole.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     t = targets.where("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     # A block's mean length, so that sources with a short last block still meet their target.
     t = t.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
-    t = t.withColumn("slots", F.sum("want").over(whole)).withColumn("below", F.sum("want").over(by_name) - F.col("want"))
-    # The step: of the primes that do not divide the number of blocks, the first in an order of the source's own.
-    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
-    turn = F.expr(f"cast(pmod(xxhash64({seed}, source, 'step'), {len(PRIMES)}) as int)")
-    turned = F.concat(F.slice(primes, turn + 1, len(PRIMES)), F.slice(primes, 1, turn))
-    t = t.withColumn("step", F.element_at(F.filter(turned, lambda p: F.col("blocks") % p != 0), 1) % F.col("blocks"))
-    shard = t.withColumn("shard", F.explode(F.expr(f"sequence(0L, cast(ceil(slots / {slots}) as bigint) - 1)")))
-    shard = shard.withColumn("n", F.least(F.lit(float(slots)), F.col("slots") - F.col("shard") * slots))
-    u = F.expr(f"pmod(xxhash64({seed}, shard, 'draw'), 1048576) / 1048576D")
-    cut = lambda x: F.floor(x / F.col("slots") * F.col("n") + u)
-    shard = shard.withColumn("count", cut(F.col("below") + F.col("want")) - cut(F.col("below"))).where("count > 0")
+    t = t.withColumn("upto", F.sum("want").over(by_name)).withColumn("all", F.max("upto").over(whole))
+    edge = F.when(F.col("upto") >= F.col("all"), F.lit(1 << DRAW_BITS)).otherwise(F.floor(F.col("upto") / F.col("all") * (1 << DRAW_BITS))).cast("long")
+    t = t.withColumn("edge", edge).withColumn("from", F.lag("edge", 1, 0).over(whole.orderBy(F.col("source").asc_nulls_last())))
+    t = ws.table(t.select("source", F.xxhash64(F.lit(seed), "source").alias("key"), "blocks", "want", "from", "edge"), "stretches")
+    total = int(-(-(t.agg(F.sum("want")).first()[0] or 0) // 1))
+    parts = max(1, -(-total // TASK_SLOTS))
+    cells = t.where("from < edge").withColumn("cell", F.explode(F.expr(f"sequence(shiftright(from, {DRAW_BITS - CELL_BITS}), shiftright(edge - 1, {DRAW_BITS - CELL_BITS}))")))
+    cells = bounded_broadcast(ws.table(cells.drop("want"), "cells"))
+    slot = spark.range(0, total, 1, parts).select(F.expr(f"id div {slots}").alias("shard"), F.expr(f"pmod(xxhash64({seed}, 'slot', id), {1 << DRAW_BITS}L)").alias("u"))
+    slot = slot.withColumn("at", F.shiftright("u", DRAW_BITS - CELL_BITS))
+    hit = slot.join(cells, (F.col("at") == F.col("cell")) & (F.col("u") >= F.col("from")) & (F.col("u") < F.col("edge")))
+    counts = ws.table(hit.groupBy("source", "key", "blocks", "shard").agg(F.count("*").alias("count")), "counts")
     by_shard = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    return shard.withColumn("first", F.sum("count").over(by_shard) - F.col("count")).select("source", "blocks", "step", "shard", "count", "first")
+    return counts.withColumn("first", F.sum("count").over(by_shard) - F.col("count")), parts
+
+
+def permuted(df: DataFrame, index: str, size: str, key: str, name: str) -> DataFrame:
+    """Adds ``name``: the place of ``index`` (0 to ``size`` - 1) under a pseudorandom permutation that ``key`` names.
+
+    A Feistel network on pairs of digits, of bases about the square root of the size; what falls beyond the size is permuted
+    again (cycle walking).  The bases' product exceeds the size by less than a base, so a walk longer than ``WALK``
+    steps is impossible for sizes up to the square of ``WALK``, and for larger ones of a chance below ``WALK ** -WALK``.
+    """
+    high, low = column_name(df, "high"), column_name(df, "low")
+    df = df.withColumn(high, F.ceil(F.sqrt(size)).cast("long")).withColumn(low, F.expr(f"({size} + {high} - 1) div {high}"))
+    k, h, w, n = F.col(key), F.col(high), F.col(low), F.col(size)
+    top, bottom = column_name(df, "top"), column_name(df, "bottom")
+    df = df.withColumn(top, F.expr(f"{index} div {low}")).withColumn(bottom, F.pmod(index, w))
+    made = [top, bottom]
+    for r in range(ROUNDS):  # a column a half round: each is computed once, in generated code
+        made.append(column_name(df, f"r{r}"))
+        df = df.withColumn(made[-1], _shifted(F.col(bottom), F.col(top), w, r, k) if r % 2 else _shifted(F.col(top), F.col(bottom), h, r, k))
+        top, bottom = (top, made[-1]) if r % 2 else (made[-1], bottom)
+    first = column_name(df, "first_place")
+    df = df.withColumn(first, F.col(top) * w + F.col(bottom))
+
+    def step(s: Column, r: Column) -> Column:
+        even = F.struct(_shifted(s["t"], s["b"], h, r, k).alias("t"), s["b"].alias("b"))
+        return F.when(r % 2 == 0, even).otherwise(F.struct(s["t"].alias("t"), _shifted(s["b"], s["t"], w, r, k).alias("b")))
+
+    def once(y: Column) -> Column:
+        start = F.struct(((y - F.pmod(y, w)) / w).cast("long").alias("t"), F.pmod(y, w).alias("b"))  # exact below 2**53
+        return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, step, lambda s: s["t"] * w + s["b"])
+
+    again = F.aggregate(F.array(*map(F.lit, range(WALK))), F.col(first), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    return df.withColumn(name, F.when(F.col(first) < n, F.col(first)).otherwise(again)).drop(high, low, first, *made)
+
+
+def _shifted(digit: Column, by: Column, base: Column, r: int | Column, key: Column) -> Column:
+    """A digit after a half round: moved by a hash of the other digit."""
+    return F.pmod(digit + F.pmod(F.xxhash64(key, F.lit(r) if isinstance(r, int) else r, by), base), base)
 
 
 def mix_sources(docs: DataFrame, block: int = 2048, slots: int = 65_536, seed: int = SEED) -> DataFrame:
     """The mixed documents, in the columns of ``docs``: one row for each document and pass that takes words of it.
 
     A document whose words are all taken in a pass comes with its whole text; otherwise the text is its
-    taken words with the white space that follows them.  ``n_chars``, if there, is counted anew.
+    taken words with the white space that follows them.  ``n_chars``, if there, is counted anew.  Null texts and texts without
+    words are never taken; rows alike in doc_id and text have a place each; null doc_ids take part; an empty table gives
+    an empty result.  Other columns come along, whatever their names.
     """
     plan = plan_mix(docs, block, slots, seed).where("size(pieces) > 0").select("doc_id", "th", "size", "at", "source", "pieces")
-    mark, nth = column_name(docs, "th"), column_name(docs, "nth")
+    mark, nth, p_id, p_th, p_nth, p_size, cuts = (column_name(docs, c) for c in ("mark", "nth", "p_id", "p_th", "p_nth", "p_size", "cuts"))
     left = docs.withColumn(mark, F.xxhash64("text"))
     if plan.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        left, plan = left.withColumn(nth, F.lit(1)), plan.withColumn("_nth", F.lit(1))
+        left, plan = left.withColumn(nth, F.lit(1)), plan.withColumn("nth", F.lit(1))
     else:  # rows alike in doc_id and text have a row each in the plan: they meet by number
         left = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("source")))
-        plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("source", "at")))
+        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("source", "at")))
     by_pass = plan.select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_nth", F.col("size").alias("_size"),
-        F.explode(F.expr("transform(array_distinct(transform(pieces, p -> p.pass)), q -> filter(pieces, p -> p.pass = q))")).alias("_pieces"),
+        F.col("doc_id").alias(p_id), F.col("th").alias(p_th), F.col("nth").alias(p_nth), F.col("size").alias(p_size),
+        F.explode(F.expr("transform(array_distinct(transform(pieces, p -> p.pass)), q -> filter(pieces, p -> p.pass = q))")).alias(cuts),
     )
     text = F.col("text").cast("string")
-    joined = left.join(by_pass, left["doc_id"].cast("long").eqNullSafe(by_pass["_id"]) & (left[mark] == by_pass["_th"]) & (left[nth] == by_pass["_nth"]))
+    joined = left.join(by_pass, left["doc_id"].cast("long").eqNullSafe(by_pass[p_id]) & (left[mark] == by_pass[p_th]) & (left[nth] == by_pass[p_nth]))
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, p["from"].cast("int") + 1, (p["upto"] - p["from"]).cast("int")))), "")
-    covered = F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, p: s + p["upto"] - p["from"])
-    new = F.when(covered == F.col("_size"), text).otherwise(cut)
-    out = joined.withColumn("text", new)
+    cut = F.array_join(F.flatten(F.transform(cuts, lambda p: F.slice(words, p["from"].cast("int") + 1, (p["upto"] - p["from"]).cast("int")))), "")
+    covered = F.aggregate(cuts, F.lit(0).cast("long"), lambda s, p: s + p["upto"] - p["from"])
+    out = joined.withColumn("text", F.when(covered == F.col(p_size), text).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
