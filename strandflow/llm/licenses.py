@@ -1,7 +1,8 @@
 """License scans with DataFrame functions only: a positional rare-token index.
 
-Rows are scanned one by one without a shuffle.  The templates' words with their places are postings, each word
-weighted by its inverse document frequency over the templates.  A text's words that are among the templates' rarest are looked up; a hit at place i for
+Rows are scanned one by one without a shuffle.  The words of whole licence texts, headers and short notices
+(``license_texts``) with their places are postings, each word weighted by its inverse document frequency over these templates.
+A text's words that are among the templates' rarest are looked up; a hit at place i for
 template place j votes for the alignment (template, i - j), and an alignment's score is the matched share of the
 template's weight.  A template is reported when its score reaches ``LEAST`` and one of its
 mandatory key phrases stands in the text word by word.
@@ -9,38 +10,33 @@ mandatory key phrases stands in the text word by word.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 #: Phrases whose places are the base result, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Fixed values: (label, text that marks the licence, key phrases of which one must be there).
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3", "gnu gpl version 3")),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2", "gnu gpl version 2")),
-    ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("mpl-2.0", "subject to the terms of the mozilla public license", ("mozilla public license",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
-    ("cc0", "creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0", "public domain dedication")),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
 #: Share of a template's weight that must align.
 LEAST = 0.6
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def plain(text: str) -> str:
+    """The words of a text with single spaces between them."""
+    return " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text)))
+
+
+#: (label, words of the text, key phrases).
+TEMPLATES = tuple((label, plain(text), keys) for label, text, keys in TEXTS)
+
+
 def _index() -> tuple[list[list[tuple[str, float]]], dict[str, list[tuple[int, int]]]]:
     """Each template's words with their shares of its weight, and the postings (template, place) of the words to look up.
 
@@ -80,14 +76,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     whatever their names.
     """
     shares, found = _index()
-    phrases = sorted({p for p, _ in BASE} | {p for _, _, keys in TEMPLATES for p in keys})
-    # Every alignment and every phrase has one of these words: texts without any need no more than a word count.
-    marks = sorted(set(found) | {p.split()[0] for p in phrases if not found.keys() & set(p.split())}, key=lambda w: (len(w), w))
-    # Fixed small arrays: the rare words' postings, and each template's words with their weights.
+    # Constants, folded when the query is planned: the rare words' postings, and each template's words with their weights.
     # An alignment is one number, its offset before the template's bits: numbers are told apart by hashing, structs pair by pair.
     bits = len(TEMPLATES).bit_length()
-    postings = F.create_map(*[c for w, where in found.items() for c in (F.lit(w), F.array(*[F.lit(n - (i << bits)).cast("long") for n, i in where]))])
-    templates = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in ws]) for ws in shares])
+    postings = F.from_json(F.lit(json.dumps({w: [n - (i << bits) for n, i in where] for w, where in found.items()})), "map<string,array<bigint>>")
+    templates = F.from_json(F.lit(json.dumps([[{"word": w, "weight": x} for w, x in ws] for ws in shares])), "array<array<struct<word:string,weight:double>>>")
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
 
     def places(s: Column, words: Column, phrase: str) -> Column:
@@ -96,9 +89,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         at = F.filter(F.transform(words, lambda w, i: F.when((w == want[0]) & test(w, i), i)), lambda i: i.isNotNull())
         return F.when(F.contains(s, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
 
-    def aligned(words: Column) -> Column:
+    def aligned(words: Column, hits: Column) -> Column:
         """(template, score) of each alignment that a rare word votes for."""
-        hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(found)), i)), lambda i: i.isNotNull())
         place = lambda i: F.transform(F.element_at(postings, F.get(words, i)), lambda p: F.shiftleft(i.cast("long"), bits) + p)
         template = lambda c: c.bitwiseAND((1 << bits) - 1).cast("int")
         offset = lambda c: F.shiftright(c, bits).cast("int")
@@ -106,19 +98,22 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         score = lambda c: F.least(F.round(F.aggregate(weights(c), F.lit(0.0), lambda x, y: x + y), 9), F.lit(1.0))
         return F.transform(F.array_distinct(F.flatten(F.transform(hits, place))), lambda c: F.struct(template(c).alias("template"), score(c).alias("score")))
 
-    def details(s: Column, words: Column) -> Column:
+    def details(s: Column, words: Column, hits: Column) -> Column:
         keyed = F.array_compact(F.array(*[F.when(_any([F.contains(s, F.lit(f" {k} ")) for k in keys]), F.lit(n)) for n, (_, _, keys) in enumerate(TEMPLATES)]))
 
         def judged(votes: Column, keyed: Column) -> Column:
             good = F.filter(votes, lambda v: (v["score"] >= LEAST) & F.array_contains(keyed, v["template"]))
             return F.struct(F.array_max(F.transform(votes, lambda v: v["score"])).alias("best"), F.transform(good, lambda v: F.element_at(names, v["template"] + 1)).alias("more"))
 
-        lookup = _let(aligned(words), lambda votes: _let(keyed, lambda k: judged(votes, k)))
+        lookup = _let(aligned(words, hits), lambda votes: _let(keyed, lambda k: judged(votes, k)))
         return F.struct(F.array(*[places(s, words, phrase) for phrase, _ in BASE]).alias("places"), lookup.alias("lookup"))
 
     def scan(s: Column) -> Column:
         n_words = F.when(F.trim(s) == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) - 1)
-        some = F.when(_any([F.contains(s, F.lit(f" {m} ")) for m in marks]), _let(F.split(F.trim(s), " "), lambda words: details(s, words)))
+        based = _any([F.contains(s, F.lit(f" {phrase} ")) for phrase, _ in BASE])
+        # Texts without a base phrase and without any of the words to look up need no more than a word count.
+        rare = lambda words: F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(found)), i)), lambda i: i.isNotNull())
+        some = _let(F.split(F.trim(s), " "), lambda words: _let(rare(words), lambda hits: F.when(based | (F.size(hits) > 0), details(s, words, hits))))
         return F.struct(n_words.cast("long").alias("n_words"), some.alias("some"))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
