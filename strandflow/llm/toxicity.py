@@ -3,8 +3,8 @@
 The kernel of two words compares all subsequences of three characters, each weighted by ``DECAY`` to the power of
 the stretch it spans (gaps up to ``SPAN``), normalised to the words' own norms: an insult with inserted,
 split or changed characters keeps most of its subsequences.  Landmark words give a Nyström
-feature map; a linear machine with squared hinge loss is trained on it.  A sentence is as
-toxic as its worst word and a document as its worst sentence.  Labels are of documents only, so
+feature map; a linear machine with squared hinge loss is trained on it.  A document is judged by
+its ``WORST`` worst words and by how many words there are to choose from, on a logistic curve.  Labels are of documents only, so
 training alternates: in a toxic sample document the worst word stands for the toxic
 sentence, all words of the others are clean, and the machine is fitted again, with the clean words that
 score highest as further examples.  Since the machine is linear in the kernel,
@@ -19,13 +19,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import batches
+from .arrow import batches, decoded, released
 from .workspace import bounded_broadcast, shared_dir
 
 DECAY, SPAN = 0.7, 6
@@ -34,6 +35,8 @@ STRETCH = 32
 #: Labelled documents of each label that the machine is fitted on at most (all learning rows if fewer).
 SAMPLE = 5000
 LANDMARKS, CLEAN_WORDS, ROUNDS = 192, 6000, 2
+#: Words that a document is judged by.
+WORST = 3
 _LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _SPLIT = re.compile(r"\S+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -86,24 +89,24 @@ def _grouped(words: list[str]) -> Iterator[list[int]]:
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    order = np.argsort(codes, axis=1)
-    c, w = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1)
-    flat_new = np.ones(c.shape, bool)
-    flat_new[:, 1:] = c[:, 1:] != c[:, :-1]
-    starts = np.flatnonzero(flat_new)
+    """Norms of rows: equal codes of a row add up.  Codes are sorted together with the number of their weight."""
+    kinds, number = np.unique(weights, return_inverse=True)
+    both = np.sort(codes.astype(np.int32) * 8 + number.reshape(weights.shape).astype(np.int32), axis=1)
+    c, w = both >> 3, kinds[both & 7]
+    new = np.ones(c.shape, bool)
+    new[:, 1:] = c[:, 1:] != c[:, :-1]
+    starts = np.flatnonzero(new)
     sums = np.add.reduceat(w.ravel(), starts)
-    rows = starts // c.shape[1]
-    return np.sqrt(np.bincount(rows, sums.astype(np.float64) ** 2, minlength=len(c)))
+    return np.sqrt(np.bincount(starts // c.shape[1], sums.astype(np.float64) ** 2, minlength=len(c)))
 
 
 @dataclass
 class Model:
-    """Weights of three-character subsequences, the bias, and the logistic curve over a document's worst word."""
+    """Weights of three-character subsequences, the bias, and the logistic curve over what is known of a document."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray
 
     def words(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias, np.float64)
@@ -113,8 +116,14 @@ class Model:
             out[lot] += (self.weights[codes] * w).sum(axis=1) / np.maximum(norm, 1e-9)
         return out
 
-    def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+    def features(self, scores: list[float] | np.ndarray) -> list[float]:
+        """A document's, from its words' scores: the highest (missing ones are the bias) and the logarithm of their number."""
+        worst = nlargest(WORST, scores)
+        return [*worst, *[self.bias] * (WORST - len(worst)), math.log1p(len(scores))]
+
+    def probability(self, features: list[list[float]]) -> np.ndarray:
+        x = np.array(features, np.float64).reshape(-1, WORST + 1)
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 class Nystrom:
@@ -178,18 +187,20 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> tu
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r = weight * p * (1 - p) + 1e-9
-        off = weight * (p - y)
-        grad = np.array([(off * x).sum() + 1e-2 * a, off.sum()])
-        hess = np.array([[(r * x * x).sum() + 1e-2, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-6]])
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of the columns of ``x`` and a constant, by Newton steps with a small ridge."""
+    x = np.hstack((x, np.ones((len(x), 1))))
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 5 / np.abs(step).max())
-        a, b = a - step[0], b - step[1]
-    return max(a, 1e-3), b
+        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def _grams(word: str) -> set[str]:
@@ -245,15 +256,15 @@ def _first_scores(names: list[str], docs: list[np.ndarray], y: np.ndarray, bad_w
 
 
 def fit(names: list[str], docs: list[np.ndarray], toxic: list[int], share: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """A model from labelled documents; without both labels it gives every text their share.
+    """A model from labelled documents; without both labels, or without a word in those of label 1, it gives every text their share.
 
     ``names`` are the words in ascending order, ``docs`` each document's distinct words as ascending places
     in ``names``; ``share`` is the number of documents that one of label 0 and one of label 1 stands for.
     """
     y = np.array(toxic, np.float64)
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not any(len(ws) for ws, t in zip(docs, toxic, strict=True) if t):
         mean = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
-        return Model(np.zeros(1 << 18), 0.0, 1e-3, math.log(mean / (1 - mean)))
+        return Model(np.zeros(1 << 18), 0.0, np.array([0.0] * (WORST + 1) + [math.log(mean / (1 - mean))]))
     seen = np.zeros((2, len(names)), np.int64)
     for ws, t in zip(docs, toxic, strict=True):
         seen[t][ws] += 1
@@ -281,14 +292,14 @@ def fit(names: list[str], docs: list[np.ndarray], toxic: list[int], share: tuple
             target = np.concatenate((np.ones(len(insults)), -np.ones(len(negatives))))
             weight = np.concatenate((np.sqrt([picks[w] for w in insults]), np.ones(len(negatives))))
             w, b = _svm(x, target, weight)
-            model = Model(chart.folded(w), b, 1.0, 0.0)
+            model = Model(chart.folded(w), b, np.zeros(WORST + 2))
             if not again:  # the clean words it takes for insults, as further examples
                 score = _scores(model, names)
                 hard = every[np.argsort(-score[every], kind="stable")[:3000]].tolist()
                 negatives = list(dict.fromkeys(negatives + [w for w in hard if w not in taken]))
         score = _scores(model, names)
-    worst = np.array([score[ws].max() if len(ws) else model.bias for ws in docs])
-    model.slope, model.shift = _logistic(worst, y, np.where(y > 0, share[1], share[0]) / max(share))
+    known = np.array([model.features(score[ws]) for ws in docs])
+    model.curve = _logistic(known, y, np.where(y > 0, share[1], share[0]) / max(share))
     return model
 
 
@@ -299,15 +310,15 @@ def _scores(model: Model, names: list[str]) -> np.ndarray:
 class Scorer:
     """Scores whole texts; remembers words, in two halves of which the older is dropped."""
 
-    MEMO = 400_000
+    MEMO = 200_000
 
     def __init__(self, model: Model):
         self.model = model
         self.new: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
-    def worst(self, texts: list[bytes]) -> np.ndarray:
-        sets = [words_of(t.decode()) for t in texts]
+    def probability(self, texts: list[bytes]) -> np.ndarray:
+        sets = [words_of(decoded(t)) for t in texts]
         if len(self.new) > self.MEMO:
             self.old, self.new = self.new, {}
         lost = [w for w in set().union(*sets) if w not in self.new]
@@ -316,7 +327,7 @@ class Scorer:
         lost = [w for w in lost if w not in self.new]
         self.new.update(zip(lost, self.model.words(lost).tolist(), strict=True))
         get = self.new.__getitem__
-        return np.array([max(map(get, s), default=self.model.bias) for s in sets])
+        return self.model.probability([self.model.features(list(map(get, s))) for s in sets])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5) -> Model:
@@ -324,7 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
 
     A label's sample is the first in order of a hash of the id, among ids that ``docs`` has; each label counts by its
     documents, not by its sample.  Rows of null id or label teach nothing, and of labels that contradict each
-    other for an id the higher counts.
+    other for an id the higher counts; of repeated rows of an id one is learnt.  Null and empty texts have no words.  Without rows of
+    both labels the model gives every text the same score.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -334,13 +346,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
     whole = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
     first = [learn.where(F.col("toxic") == t).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for t in (0, 1)]
     taken = first[0].union(first[1]).checkpoint()
-    rows = docs.join(bounded_broadcast(taken), docs["doc_id"].cast("long") == F.col("label_id")).select("label_id", "toxic", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(bounded_broadcast(taken), "label_id").select("label_id", "toxic", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, "text"):
-            yield pa.record_batch([batch.column("label_id"), batch.column("toxic"), pa.array([sorted(words_of(t.decode())) for t in texts], pa.list_(pa.string()))], names=["id", "toxic", "words"])
+            yield pa.record_batch([batch.column("label_id"), batch.column("toxic"), pa.array([sorted(words_of(decoded(t))) for t in texts], pa.list_(pa.string()))], names=["id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "id long, toxic int, words array<string>").dropDuplicates(["id"]).toArrow()
+    got = rows.mapInArrow(released(run), "id long, toxic int, words array<string>").dropDuplicates(["id"]).toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     toxic = got.column("toxic").to_numpy()[order].tolist()
     # Words become numbers batch by batch: each distinct one is kept once.
@@ -365,19 +378,24 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, score) in the order of ``docs``: the probability that label 1 is right, from the whole text.
 
     Null and empty texts, and texts without words of three characters, get the score of a document with nothing found.
+    Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored, whatever their names.
+    Malformed UTF-8 reads as U+FFFD.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch, texts in batches(it, "text"):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scorer.model.probability(scorer.worst(texts)))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(scorer.probability(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents whose score reaches ``threshold``; all columns come back, in order."""
+    """``docs`` without the documents whose score reaches ``threshold``; all columns come back, in order.
+
+    Nulls, empty and repeated rows, and other columns are dealt with as in ``score_documents``: rows of equal text stay or go together.
+    """
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
@@ -385,8 +403,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch, texts in batches(it, batch_text):
-            keep = scorer.model.probability(scorer.worst(texts)) < threshold
+            keep = scorer.probability(texts) < threshold
             yield batch.filter(pa.array(keep))
 
     batch_text = docs.columns[place]
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
