@@ -9,19 +9,21 @@ bit-parallel algorithm gives the least edit distance of the item around each hit
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import batches
+from .arrow import batches, decoded, released
+from .workspace import Workspace, bounded_broadcast, column_name
 
 WORD = re.compile(r"[^\W_]+")
 #: Edits allowed for each character of an item.
 RATE = 0.06
 #: Characters of items in one automaton: the query set is applied in blocks of this size.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def normal(text: str) -> str:
@@ -107,6 +109,17 @@ class Matcher:
         return found
 
 
+_last: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[str], rate: float) -> Matcher:
+    """The matcher of a block, made once a worker; the block before it is let go."""
+    if name not in _last:
+        _last.clear()
+        _last[name] = Matcher(items, rate)
+    return _last[name]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, th, item_id, distance): the test items that each document's whole text contains.
 
@@ -114,10 +127,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     ``rate`` of the item's length; ``th`` is the text's xxhash64.  Items equal after normalising all
     match; items without words match nothing, and so do null or empty texts and items.  Rows of null ids take part.
     Repeated documents and items give their rows each.  Empty tables give an empty result.  Other
-    columns are ignored, whatever their names.  The items are a query set: the driver reads them in
+    columns are ignored, whatever their names.  Malformed UTF-8 reads as U+FFFD, which is no word.  The items are a query set: the driver reads them in
     blocks of ``BLOCK_CHARS`` characters and applies one block after the other.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     found = None
     block: dict[str, list[int | None]] = {}
@@ -140,25 +153,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 def _apply(rows: DataFrame, block: dict[str, list[int | None]], rate: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(list(block.items()))  # at most BLOCK_CHARS and one item
+    name = uuid.uuid4().hex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids = [t for t, _ in shared.value], [i for _, i in shared.value]
-        matcher = Matcher(texts, rate) if texts else None
+        matcher = matcher_of(name, texts, rate) if texts else None
         for batch, docs in batches(it, "text"):
             out: list[tuple] = []
             if matcher:
                 for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), docs, strict=True):
-                    out += [(doc, th, i, d) for n, d in matcher.find(normal(text.decode())).items() for i in ids[n]]
+                    out += [(doc, th, i, d) for n, d in matcher.find(normal(decoded(text))).items() for i in ids[n]]
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "th", "item_id", "distance"])
 
-    return rows.mapInArrow(run, "doc_id long, th long, item_id long, distance long")
+    return rows.mapInArrow(released(run), "doc_id long, th long, item_id long, distance long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents that contain a test item; all columns come back."""
-    from .workspace import Workspace, bounded_broadcast
+    """``docs`` without the documents that contain a test item; all columns come back, whatever their names.
 
+    Rows of equal id and text go or stay together, null ids among them; null and empty texts stay; an empty table of
+    documents or items leaves the documents as they are.
+    """
     ws = Workspace(docs.sparkSession, "leaks")
-    bad = ws.finish(find_leaks(docs, benchmark, rate).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct())
-    return docs.join(bounded_broadcast(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_th")), "left_anti")
+    bad_id, bad_th = column_name(docs, "bad_id"), column_name(docs, "bad_th")
+    bad = ws.finish(find_leaks(docs, benchmark, rate).select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)).distinct())
+    return docs.join(bounded_broadcast(bad), docs["doc_id"].cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(bad_th)), "left_anti")

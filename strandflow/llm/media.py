@@ -2,14 +2,17 @@
 
 An Aho-Corasick automaton finds magic bytes at any place of a blob; a validator of the
 format then confirms structure and gives the true length.  What stands at the start decides the
-blob's type and corrects a declared one; confirmed media further in are carved out.
+blob's type and corrects a declared one; confirmed media further in are carved out, those inside documents and archives too.
+End marks are looked up in lists made once a blob, so a blob full of magic bytes costs no more than its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import batches
+from .arrow import batches, released
 from .workspace import Workspace
 
 #: The magic bytes of each format.
@@ -36,7 +39,48 @@ MAGIC = {
 RIFF_KINDS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
-def _png(d: bytes, at: int) -> int:
+#: Kinds that hold other media as they are.
+HOLDERS = {"application/pdf", "application/zip"}
+
+
+class Blob:
+    """A blob's bytes, with places found once and remembered."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._places: dict[bytes, list[int]] = {}
+        self._archives: dict[int, int] | None = None
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self._places:
+            self._places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self._places[mark]
+
+    def first(self, mark: bytes, start: int, stop: int | None = None) -> int:
+        """The first place of ``mark`` from ``start`` on and before ``stop``, or -1."""
+        found = self.places(mark)
+        n = bisect_left(found, start)
+        return found[n] if n < len(found) and (stop is None or found[n] < stop) else -1
+
+    def last(self, mark: bytes, start: int, stop: int) -> int:
+        found = self.places(mark)
+        n = bisect_left(found, stop) - 1
+        return found[n] if n >= 0 and found[n] >= start else -1
+
+    def archives(self) -> dict[int, int]:
+        """Where each archive begins, by its own end record, and where it ends."""
+        if self._archives is None:
+            self._archives = {}
+            for end in self.places(b"PK\x05\x06"):
+                if end <= len(self.data) - 22:
+                    size, offset, comment = struct.unpack_from("<IIH", self.data, end + 12)
+                    if end + 22 + comment <= len(self.data):
+                        self._archives.setdefault(end - size - offset, end + 22 + comment)
+        return self._archives
+
+
+def _png(b: Blob, at: int) -> int:
+    d = b.data
     p = at + 8
     while p + 12 <= len(d):
         (n,) = struct.unpack_from(">I", d, p)
@@ -51,7 +95,8 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(b: Blob, at: int) -> int:
+    d = b.data
     p = at + 2
     while p + 4 <= len(d) and d[p] == 0xFF:
         marker = d[p + 1]
@@ -60,12 +105,13 @@ def _jpeg(d: bytes, at: int) -> int:
             return 0
         p += 2 + n
         if marker == 0xDA:  # entropy-coded data up to the end marker
-            end = d.find(b"\xff\xd9", p)
+            end = b.first(b"\xff\xd9", p)
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(b: Blob, at: int) -> int:
+    d = b.data
     if at + 13 > len(d):
         return 0
     flags = d[at + 10]
@@ -91,7 +137,8 @@ def _gif(d: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(b: Blob, at: int) -> int:
+    d = b.data
     if at + 54 > len(d):
         return 0
     size, reserved, offset, head, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", d, at + 2)
@@ -100,25 +147,22 @@ def _bmp(d: bytes, at: int) -> int:
     return size if good and at + size <= len(d) else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d[at + 5 : at + 6].isdigit() and d.find(b"startxref", at, end) >= 0 else 0
+def _pdf(b: Blob, at: int) -> int:
+    """Up to the last end mark before the next document: updates append further ones."""
+    following = b.first(b"%PDF-", at + 5)
+    stop = following if following >= 0 else len(b.data)
+    end = b.last(b"%%EOF", at, stop)
+    return end + 5 - at if end >= 0 and b.data[at + 5 : at + 6].isdigit() and b.first(b"startxref", at, end) >= 0 else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(d) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(d):
-            return end + 22 + comment - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(b: Blob, at: int) -> int:
+    return max(0, b.archives().get(at, 0) - at)
 
 
-def _gzip(d: bytes, at: int) -> int:
+def _gzip(b: Blob, at: int) -> int:
     inflate = zlib.decompressobj(31)
     try:
-        view = memoryview(d)[at:]
+        view = memoryview(b.data)[at:]
         for i in range(0, len(view), 65536):
             inflate.decompress(view[i : i + 65536])
             if inflate.eof:
@@ -128,11 +172,23 @@ def _gzip(d: bytes, at: int) -> int:
     return 0
 
 
-def _flac(d: bytes, at: int) -> int:
-    return len(d) - at if at + 42 <= len(d) and d[at + 4] & 0x7F == 0 and d[at + 5 : at + 8] == b"\x00\x00\x22" else 0
+def _flac(b: Blob, at: int) -> int:
+    """Through the metadata blocks to a frame; frames give no length, so they reach to the next stream or the end."""
+    d, p, last = b.data, at + 4, False
+    if d[p + 1 : p + 4] != b"\x00\x00\x22" or not p + 38 <= len(d) or d[p] & 0x7F:
+        return 0
+    while not last:
+        if p + 4 > len(d) or d[p] & 0x7F == 0x7F:
+            return 0
+        last, p = bool(d[p] & 0x80), p + 4 + int.from_bytes(d[p + 1 : p + 4], "big")
+    if p > len(d) or (p < len(d) and d[p : p + 2] not in (b"\xff\xf8", b"\xff\xf9")):
+        return p - at if p <= len(d) else 0
+    following = b.first(b"fLaC\x00\x00\x00\x22", p)
+    return (following if following >= 0 else len(d)) - at
 
 
-def _riff(d: bytes, at: int) -> int:
+def _riff(b: Blob, at: int) -> int:
+    d = b.data
     if at + 12 > len(d) or d[at + 8 : at + 12] not in RIFF_KINDS:
         return 0
     (size,) = struct.unpack_from("<I", d, at + 4)
@@ -146,7 +202,7 @@ def _riff(d: bytes, at: int) -> int:
     return end - at if p == end else 0
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[Blob, int], int]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "application/pdf": _pdf,
     "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "riff": _riff,
 }
@@ -165,13 +221,21 @@ def _automaton():
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of all confirmed media, in order, none inside another."""
-    found, clear = [], 0
+    """(type, offset, length) of all confirmed media, in order; those inside another only if it is a document or an archive.
+
+    A stream of frames without a length ends where the next confirmed medium begins.
+    """
+    found, clear, open_end = [], 0, False
+    blob = Blob(data)
     for end, (kind, n) in _automaton().iter(data.decode("latin-1")):
         at = end + 1 - n
-        if at >= clear and (length := VALIDATORS[kind](data, at)):
+        if (at >= clear or open_end) and (length := VALIDATORS[kind](blob, at)):
+            if open_end and at < clear:
+                found[-1] = (*found[-1][:2], at - found[-1][1])
             found.append((RIFF_KINDS[data[at + 8 : at + 12]] if kind == "riff" else kind, at, length))
-            clear = at + length
+            open_end = kind == "audio/flac"
+            if kind not in HOLDERS:
+                clear = at + length
     return found
 
 
@@ -194,7 +258,8 @@ def sniff_column(df: DataFrame, key: str, blob: str, declared: str) -> DataFrame
 
     ``type`` is what the start holds (``application/octet-stream`` if nothing is confirmed there),
     ``corrected`` tells that it differs from the declared type, ``carved`` lists (type, offset, bytes) of
-    media further in.  A null blob counts as empty; a null declared type is corrected unless nothing was found.
+    media further in.  A null blob counts as empty; a null declared type is corrected unless nothing was found.  Null and repeated
+    keys keep their rows; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +276,7 @@ def sniff_column(df: DataFrame, key: str, blob: str, declared: str) -> DataFrame
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(blob).alias("b"), F.col(declared).cast("string").alias("d"))
-    out = rows.mapInArrow(run, f"k {kind}, type string, corrected boolean, length long, carved array<struct<type:string,offset:long,bytes:binary>>")
+    out = rows.mapInArrow(released(run), f"k {kind}, type string, corrected boolean, length long, carved array<struct<type:string,offset:long,bytes:binary>>")
     return out.withColumnRenamed("k", key)
 
 
@@ -254,5 +319,5 @@ def media_digest(docs: DataFrame) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "media")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    stored = ws.table(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
-    return ws.finish(stored.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+    stored = ws.table(rows.mapInArrow(released(_store), "doc_id long, n_bytes long, media binary"), "media")
+    return ws.finish(stored.mapInArrow(released(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
