@@ -35,7 +35,7 @@ FOLD, SORTBYTES = 1_000_000, 8_000_000
 #: Runs that a task gathers before it deals them out.
 FLUSH = 800_000
 #: A key with more stretches is split by its windows' contents.
-HOT = 20_000
+HOT = 2_000
 _U64 = np.uint64
 
 
