@@ -2,9 +2,14 @@
 
 import random
 
-from strandflow.llm import toxicity
-from strandflow.llm.licenses import LEAST, TEMPLATES, _index, scan_licenses
+import numpy as np
+import pytest
+
+from strandflow.llm import ngram_join, toxicity
+from strandflow.llm.license_texts import TEXTS
+from strandflow.llm.licenses import BASE, LEAST, TEMPLATES, _index, plain, scan_licenses
 from strandflow.llm.ngram_join import keep_one, link_components
+from strandflow.llm.sigtree import bitmap, candidates
 
 
 def _prose(tag, n=60):
@@ -49,6 +54,36 @@ def test_rare_toxic_rows_are_all_learnt(spark):
     assert sum(score[i] >= 0.5 for i in score if i not in bad) <= 4
 
 
+def test_license_texts_against_brute_force(spark):
+    """Labels and scores of whole texts, embedded, cut, changed and shifted, against all alignments of all templates."""
+    rng = random.Random(5)
+    texts = [f"header {rng.random()}\n{t}\nend" for _, t, _ in TEXTS]
+    for _, t, _ in TEXTS[:16]:
+        words = t.split()
+        at, n = rng.randrange(len(words)), len(words)
+        texts += [" ".join(words[: n // 2]), " ".join([*words[:at], "zzz", *words[at + 1 :]]), " ".join([*words[: n // 3], "zzz", *words[n // 3 :]]), t.upper() + " " + t]
+        texts.append(" ".join(w if rng.random() < 0.7 else "zzz" for w in words))
+    texts += [None, "", "hereby", "hereby " * 300, "nothing of the kind"]
+    shares, found = _index()
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = set()
+    for n, t in enumerate(texts):
+        words = plain(t or "").split()
+        s = " " + " ".join(words) + " "
+        score = {}
+        for k, j, i in {(k, j, i) for i, w in enumerate(words) for k, j in found.get(w, ())}:
+            score[k, i - j] = sum(x for m, (w, x) in enumerate(shares[k]) if 0 <= i - j + m < len(words) and words[i - j + m] == w)
+        every = max((sum(x for m, (w, x) in enumerate(sh) if 0 <= o + m < len(words) and words[o + m] == w) for sh in shares for o in range(-len(sh), len(words))), default=0) if n % 9 == 0 else 0
+        best = max(score.values(), default=0)
+        assert every < LEAST or abs(every - best) < 1e-9  # no alignment that counts is left out
+        base = {label for phrase, label in BASE if f" {phrase} " in s}
+        labels = base | {TEMPLATES[k][0] for (k, _), x in score.items() if round(x, 9) >= LEAST and any(f" {p} " in s for p in TEMPLATES[k][2])}
+        assert got[n].labels == ",".join(sorted(labels)), t
+        assert abs(got[n].score - (1 if base else min(best, 1))) < 1e-8, t
+        seen |= labels
+    assert {label for label, _, _ in TEXTS} <= seen
+
+
 def test_license_score_does_not_hang_on_unrelated_words(spark):
     texts = [t for _, t, _ in TEMPLATES]
     bsd = "redistribution and use in source and compiled forms with or without modification are permitted"
@@ -65,6 +100,57 @@ def test_license_score_does_not_hang_on_unrelated_words(spark):
     assert LEAST < score[at] == score[at + 1] < 1
 
 
+def test_candidates_of_bitmaps():
+    rng = random.Random(3)
+    sets, known = [], []
+    for n in range(40):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        for _ in range(rng.randint(1, 5)):
+            sets.append(np.unique(np.array([b if rng.random() < 0.96 else rng.randrange(10**6) for b in base], np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            known.append(n if rng.random() < 0.5 else 1000 + len(sets))
+    for m in (1, 2, 9, len(sets)):
+        maps, sizes = np.stack([bitmap(s, 256) for s in sets[:m]]), np.array([len(s) for s in sets[:m]])
+        pairs, tested, pruned = candidates(maps, sizes, np.array(known[:m]), 80, 100)
+        got = {frozenset(p) for p in pairs.tolist()}
+        want = {frozenset((i, j)) for i in range(m) for j in range(i) if known[i] != known[j] and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))}
+        assert want <= got and len(got) == len(pairs) and tested >= pruned
+        assert all(known[i] != known[j] for i, j in map(tuple, got)) and len(got) <= m * m / 8 + 1
+
+
+@pytest.mark.parametrize("pivots", [0, 4])
+def test_groups_of_several_blocks(spark, monkeypatch, pivots):
+    """Near copies, chains and strangers in candidate groups cut into blocks of a few sets, against brute force."""
+    rng = random.Random(12)
+    texts = []
+    for tag in "abcd":
+        words = _prose(tag, 60).split()
+        for n in range(25):
+            texts.append(" ".join([*words[: 60 - n % 13], *[f"{tag}{n % 13}x{rng.randrange(4)}y{i}" for i in range(n % 13)]]))
+    texts += [f"{t} {x}" for t in texts[:20] for x in ("tail", "end")]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    figures = {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs, 3, 80, 100, figures=figures).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 4 and figures["large_units"] and figures["tested"] >= figures["pruned"] > 0
+    plain = {r.doc_id: r.n_links for r in ngram_join.link_components(docs, 3, 80, 100, links=True).collect()}
+    assert plain == {i: sum(i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+
+
 def test_number_of_links(spark):
     rng = random.Random(6)
     texts = [None, "", "one two", "one two"]
