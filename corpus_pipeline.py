@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids in wavelet-matrix shards, with each document's place and digest as read back."""
-    return token_index(docs, public_tokenizers.path("word_bpe_49k.json"), end=1).drop("path")
+    return token_index(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
 STAGES = [
