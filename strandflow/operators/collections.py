@@ -53,26 +53,35 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, T.MapType)
 
 
-def dedup(stream: Stream, positional: bool = False) -> Stream:
+def dedup(stream: Stream, positional: bool = False, leaving: Sequence[str] = ()) -> Stream:
     """Drops rows equal to the row before them in all fields.
 
     If the order covers all fields, equal rows are neighbours and this is a hash-distributed distinct.  Otherwise
     neighbours are a matter of position: pass ``positional`` (the stream needs an order fact), and only rows equal to their
-    predecessor in that order go.
+    predecessor in that order go.  Fields ``leaving`` order the rows but are removed before rows are compared, so equal rows may
+    stand apart and stay; no order is known afterwards.
     """
+    stream.require(leaving)
+    if leaving and not positional:
+        raise E.ExpectedMinimalOrder("leaving fields needs positional=True")
     covered = {k for k, _ in stream.facts.order} >= set(stream.fields)
-    if covered:
+    if covered and not leaving:
         return stream.with_df(stream.df.dropDuplicates(), replace(stream.facts, distinct=tuple(stream.fields)))
     if not positional:
         raise E.ExpectedMinimalOrder("dedup needs an order of all fields, or positional=True")
     if not stream.facts.order:
         raise E.ExpectedMinimalOrder("positional dedup needs an ordered stream")
-    # Each row meets its predecessor by number: an equi-join, not a window in one task.
-    numbered = dense_numbers(stream.df, stream.facts.order, "_at")
-    before = numbered.select((F.col("_at") + 1).alias("_next"), F.struct(*stream.fields).alias("_before"))
-    same = F.struct(*stream.fields).eqNullSafe(F.col("_before"))
-    df = numbered.join(before, F.col("_at") == F.col("_next"), "left").where(F.col("_next").isNull() | ~same).select(*stream.fields)
-    return stream.with_df(df)
+    # Each row meets its predecessor by number: an equi-join, not a window in one task.  Ties stand in order of the other
+    # fields, so that both sides of the join number them alike.
+    at, following, earlier = "_at", "_next", "_before"
+    fields = [f for f in stream.fields if f not in leaving]
+    keys = {k for k, _ in stream.facts.order}
+    ties = [f.name for f in stream.df.schema if f.name not in keys and _orderable(f.dataType)]
+    numbered = dense_numbers(stream.df, stream.facts.order, at, ties)
+    before = numbered.select((F.col(at) + 1).alias(following), F.struct(*fields).alias(earlier))
+    same = F.struct(*fields).eqNullSafe(F.col(earlier))
+    df = numbered.join(before, F.col(at) == F.col(following), "left").where(F.col(following).isNull() | ~same).select(*fields)
+    return stream.with_df(df, stream.facts.without(leaving)) if leaving else stream.with_df(df)
 
 
 def sub_dedup(stream: Stream, path_fields: Sequence[str]) -> Stream:
@@ -143,7 +152,8 @@ def sub_group(stream: Stream, path_fields: Sequence[str], by_fields: Sequence[st
             F.transform(array, lambda x, i: F.when((i == 0) | ~key(x).eqNullSafe(key(F.try_element_at(array, F.greatest(i, F.lit(1))))), i + 1)),
             lambda i: i.isNotNull(),
         )
-        spans = F.transform(starts, lambda s, n: F.struct(s.alias("s"), F.coalesce(F.try_element_at(starts, n + 2), size + 1).alias("e")))
+        # The starts are bound to a variable: evaluated once, not again for each of them.
+        spans = lambda at: F.transform(at, lambda s, n: F.struct(s.alias("s"), F.coalesce(F.try_element_at(at, n + 2), size + 1).alias("e")))
 
         def one(q: Column) -> Column:
             part = F.slice(array, q["s"], q["e"] - q["s"])
@@ -151,7 +161,7 @@ def sub_group(stream: Stream, path_fields: Sequence[str], by_fields: Sequence[st
             nested = F.transform(part, lambda x: F.struct(*[x[n].alias(n) for n in inner]))
             return F.struct(*[head[n].alias(n) for n in by], nested.alias(group_field))
 
-        return F.transform(spans, one)
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(spans(at), one)), F.lit(0))
 
     return lift(stream, path_fields, fn, lambda f: _group_facts(f, by_fields, inner, group_field), move=True)
 
@@ -203,7 +213,7 @@ def join(primary: Stream, secondary: Stream, primary_fields: Sequence[str], seco
     for f in extra:
         if f.name in primary.fields:
             raise E.FieldAlreadyExistsInStream(f"field `{f.name}` already exists in stream")
-        if not f.nullable and (f.metadata or {}).get("anchor_table"):
+        if (f.metadata or {}).get("anchor_table"):
             raise E.InvalidFieldType(f"anchor field `{f.name}` has no default")
     if not extra:
         return primary

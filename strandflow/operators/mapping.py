@@ -95,25 +95,46 @@ def anchor(stream: Stream, anchor_field: str) -> Stream:
         raise E.FieldAlreadyExistsInStream(f"field `{anchor_field}` already exists in stream")
     if not stream.facts.order:
         raise E.ExpectedMinimalOrder("anchor needs an ordered stream")
-    spark = stream.df.sparkSession
     number = dense_numbers(stream.df, stream.facts.order, anchor_field)
     _tables += 1
     meta = {"anchor_table": _tables}
     df = number.withColumn(anchor_field, F.col(anchor_field).alias(anchor_field, metadata=meta))
-    del spark
     return stream.with_df(df)
 
 
-def dense_numbers(df: DataFrame, keys: Sequence, name: str) -> DataFrame:
-    """``df`` with 0-based numbers in the order of ``keys``; every column and the order's partitions survive."""
-    split = df.repartitionByRange(*order_columns(keys)).withColumn("_part", F.spark_partition_id())
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)  # counting and numbering must see the same partitions
-    counts = split.groupBy("_part").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))  # a row a partition
-    inside = Window.partitionBy("_part").orderBy(*order_columns(keys))
-    out = split.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_offset") + F.col("_rank") - 1).cast("long").alias(name))
+def dense_numbers(df: DataFrame, keys: Sequence, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with 0-based numbers in the order of ``keys``, then of the columns ``ties``.
+
+    One shuffle: range partitions are sorted, and a row's number is its place in its partition plus the rows
+    of earlier ones.  The places come from ``monotonically_increasing_id``, the rest from a count a partition.  The sorted rows are written
+    to the checkpoint folder where there is one, else kept in memory and on disk, as counting and numbering must see the same partitions.
+    """
+    order = [*order_columns(keys), *[F.col(f"`{c}`").asc_nulls_first() for c in ties]]
+    part, place, p, offset = (_free(df, c) for c in ("_part", "_place", "_p", "_offset"))
+    split = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    split = split.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        _checkpoint_folder(df)
+        split = split.checkpoint()
+    else:
+        split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = split.groupBy(part).count()  # a row a partition
+    offsets = counts.select(F.col(part).alias(p), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset))
+    out = split.join(F.broadcast(offsets), F.col(part) == F.col(p))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(offset) + F.col(place)).cast("long").alias(name))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def _checkpoint_folder(df: DataFrame) -> None:
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
 
 
 @dataclass(frozen=True)

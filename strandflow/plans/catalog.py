@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import errors as E
 from ..functions.text import group_size, tokenize
 from ..operators import collections as C
 from ..operators import mapping as M
-from ..sources.connectors import emit
+from ..sources.connectors import emit, produce, read_csv, read_lines, terminate, write_csv
 from ..stream import Facts, Stream
+from .pipeline import Pipeline
 from .wordlist import build_word_list
 
 
@@ -33,6 +38,16 @@ def _words(spark, sf) -> Stream:
     return M.anchor(C.dedup(C.sort(s, ["word"])), "word_id")
 
 
+def _shared(spark) -> str:
+    """The folder that all executors share; a local one only for a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise E.Other("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="strandflow-")
+    return base.rstrip("/")
+
+
 def _word_list(spark, sf):
     return build_word_list(_words(spark, sf), "word", "word_id", "ci_id", "refs")
 
@@ -46,16 +61,16 @@ def dedup_sorted(spark, sf):
 
 
 def dedup_adjacent(spark, sf):
-    s = M.update(_t(spark, sf, "events", "event_id", "event_type"), ["event_id"], {"at": F.col("event_id")})
-    s = M.anchor(C.sort(s, ["at"]), "n")
-    pairs = M.update(s, ["at", "n"], {"block": F.floor(F.col("n") / 4)})
-    return C.dedup(C.sort(pairs, ["block", "event_type"])).df
+    """Event types in the order of their ids, without those equal to the one before: equal types that stand apart stay."""
+    s = C.sort(_t(spark, sf, "events", "event_id", "event_type"), ["event_id"])
+    return C.dedup(s, positional=True, leaving=["event_id"]).df
 
 
 def dedup_positional(spark, sf):
-    s = M.update(_t(spark, sf, "events", "ts", "event_id", "event_type"), ["event_id"], {"k": F.expr("event_id div 8")})
-    s = M.update(s, ["ts"], {"m": F.minute("ts") * 0})
-    return C.dedup(C.sort(s, ["k", "event_type"]), positional=True).df
+    """Order statuses in order of decades of keys, falling, and keys: neighbours equal in status and decade once."""
+    s = M.update(_t(spark, sf, "orders", "o_orderkey", "o_orderstatus"), [], {"decade": F.expr("o_orderkey div 40")})
+    s = C.sort(M.update(s), [("decade", "desc"), "o_orderkey"])
+    return C.dedup(s, positional=True, leaving=["o_orderkey"]).df
 
 
 def group_orders(spark, sf):
@@ -151,12 +166,64 @@ def sub_unwrap_skip(spark, sf):
 def left_join_defaults(spark, sf):
     docs = M.declare(_t(spark, sf, "documents", "doc_id", "lang"), ["doc_id"], ["doc_id"])
     rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    labels = emit(spark, [("label_id", "i64"), ("quality", "i32")], rows)
-    # Declared types without Option are not null, so unmatched rows take the default.
-    labels = M.declare(M.update(labels, ["quality"], {"quality": F.coalesce("quality", F.lit(0))}), ["label_id"], ["label_id"])
+    # Declared without Option, so not null: unmatched rows take the default.
+    labels = emit(spark, [("label_id", "i64"), ("quality", "i32")], rows.where("quality is not null"), ["label_id"], ["label_id"])
     return C.join(docs, labels, ["doc_id"], ["label_id"]).df
 
 
+def join_defaults_csv(spark, sf):
+    """The same with a secondary that was read from CSV, with a default string too."""
+    path = f"{_shared(spark)}/segments-{uuid.uuid4().hex}"
+    half = M.where(_t(spark, sf, "customer", "c_custkey", "c_mktsegment"), "c_custkey % 2 = 0")
+    write_csv(M.declare(half, ["c_custkey"], ["c_custkey"]), path, has_headers=True, single=False)
+    right = read_csv(spark, path, [("c_custkey", "i64"), ("c_mktsegment", "String")], ["c_custkey"], ["c_custkey"], has_headers=True)
+    right = M.declare(M.update(right, ["c_custkey"], {"key": F.col("c_custkey")}), ["key"], ["key"])
+    left = M.declare(_t(spark, sf, "customer", "c_custkey", "c_nationkey"), ["c_custkey"], ["c_custkey"])
+    return C.join(left, right, ["c_custkey"], ["key"]).df
+
+
+def sorted_rows(spark, sf):
+    """Rows as a sink sees them: each with its place in the order."""
+    s = C.sort(_t(spark, sf, "supplier", "s_suppkey", "s_nationkey"), [("s_nationkey", "desc"), "s_suppkey"])
+    rows = terminate(s, body=lambda it: [(i, r.s_suppkey, r.s_nationkey) for i, r in enumerate(it)])
+    return spark.createDataFrame(rows, "place long, s_suppkey long, s_nationkey long")
+
+
+def produced_rows(spark, sf):
+    return produce(spark, [("v", "i64"), ("t", "Option<String>")], lambda send: [send((i, None if i % 3 else f"t{i}")) for i in range(10)]).df
+
+
+def accumulated_fork(spark, sf):
+    """One accumulated stream for two consumers, counted by a pipeline that runs both and a side task."""
+    p = Pipeline()
+    s = M.debug(M.accumulate(_t(spark, sf, "nation", "n_nationkey", "n_regionkey")), io.StringIO())
+    main, taken = M.extract_fields(s, ["n_regionkey"])
+    p.sink("nations", lambda a: a.df.count(), main)
+    p.sink("regions", lambda a: a.df.distinct().count(), taken)
+    p.execute("side", lambda control: 7)
+    got = p.run()
+    s.df.unpersist()
+    return spark.createDataFrame([(k, int(v)) for k, v in got.items()], "node string, n long")
+
+
+def line_words(spark, sf):
+    """Lines of text files, by their first word."""
+    path = f"{_shared(spark)}/lines-{uuid.uuid4().hex}"
+    _t(spark, sf, "region", "r_name").df.write.text(path)
+    return read_lines(spark, path, "line").df
+
+
+def unwrap_failure(spark, sf):
+    """The failing unwrap over rows with a null: the failure it reports."""
+    s = M.unwrap(_labelled(spark, sf), ["quality"], False)
+    try:
+        s.df.where("doc_id < 0").collect()
+    except Exception as cause:
+        found = re.search(r"found None for field `\w+`", str(cause))
+        return spark.createDataFrame([(found[0] if found else str(cause)[:200],)], "failure string")
+    return spark.createDataFrame([], "failure string")
+
+
 def lower_text(spark, sf):
     return M.to_lowercase(_t(spark, sf, "documents", "doc_id", "text"), ["text"]).df
 
@@ -184,10 +251,7 @@ def update_columns(spark, sf):
 
 
 def csv_roundtrip(spark, sf):
-    from ..sources.connectors import read_csv, write_csv
-
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/strandflow-csv").rstrip("/")
-    path = f"{base}/region-{uuid.uuid4().hex}.csv"
+    path = f"{_shared(spark)}/region-{uuid.uuid4().hex}.csv"
     write_csv(C.sort(_t(spark, sf, "region"), ["r_regionkey"]), path, has_headers=True)
     return read_csv(spark, path, [("r_regionkey", "i32"), ("r_name", "String")], has_headers=True).df
 
@@ -230,8 +294,8 @@ _FLAGS = "SELECT l_orderkey, l_returnflag"
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "sort_rank": (sort_rank, "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name NULLS FIRST, p_partkey DESC) - 1 AS rank FROM part"),
     "dedup_sorted": (dedup_sorted, "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders"),
-    "dedup_adjacent": (dedup_adjacent, "SELECT DISTINCT event_type, CAST(floor(n / 4) AS BIGINT) AS block FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events)"),
-    "dedup_positional": (dedup_positional, "SELECT DISTINCT event_type, event_id // 8 AS k, 0 AS m FROM events"),
+    "dedup_adjacent": (dedup_adjacent, "SELECT event_type FROM (SELECT *, row_number() OVER w > 1 AND lag(event_type) OVER w IS NOT DISTINCT FROM event_type AS same FROM events WINDOW w AS (ORDER BY event_id)) WHERE NOT same"),
+    "dedup_positional": (dedup_positional, "SELECT o_orderstatus, decade FROM (SELECT *, row_number() OVER w > 1 AND lag(o_orderstatus) OVER w IS NOT DISTINCT FROM o_orderstatus AND lag(decade) OVER w IS NOT DISTINCT FROM decade AS same FROM (SELECT o_orderkey, o_orderstatus, o_orderkey // 40 AS decade FROM orders) WINDOW w AS (ORDER BY decade DESC, o_orderkey)) WHERE NOT same"),
     "group_orders": (group_orders, "SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey DESC) AS keys FROM orders GROUP BY o_custkey"),
     "group_all": (group_all, "SELECT count(*) AS n FROM nation HAVING count(*) > 0"),
     "group_empty_input": (group_empty_input, "SELECT count(*) AS n FROM nation WHERE n_nationkey < 0 HAVING count(*) > 0"),
@@ -248,6 +312,12 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "unwrap_fail": (unwrap_fail, "SELECT doc_id, toxic, quality FROM labels"),
     "sub_unwrap_skip": (sub_unwrap_skip, "SELECT d.source, count(l.quality) AS n, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source"),
     "left_join_defaults": (left_join_defaults, "SELECT d.doc_id, d.lang, coalesce(l.quality, 0) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)"),
+    "join_defaults_csv": (join_defaults_csv, "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS c_mktsegment FROM customer"),
+    "sorted_rows": (sorted_rows, "SELECT row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey) - 1 AS place, s_suppkey, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"),
+    "produced_rows": (produced_rows, "SELECT i AS v, CASE WHEN i % 3 = 0 THEN 't' || i END AS t FROM range(10) r(i)"),
+    "accumulated_fork": (accumulated_fork, "SELECT 'nations' AS node, count(*) AS n FROM nation UNION ALL SELECT 'regions', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'side', 7"),
+    "line_words": (line_words, "SELECT r_name AS line FROM region"),
+    "unwrap_failure": (unwrap_failure, "SELECT 'found None for field `quality`' AS failure FROM (SELECT count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL) WHERE n > 0"),
     "lower_text": (lower_text, "SELECT doc_id, lower(text) AS text FROM documents"),
     "reverse_text": (reverse_text, "SELECT doc_id, reverse(text) AS text FROM documents"),
     "sub_lower_reverse": (sub_lower_reverse, "SELECT c_nationkey, c_custkey, reverse(lower(c_name)) AS c_name FROM customer"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import threading
 import time
 from collections.abc import Callable
@@ -32,6 +33,8 @@ class NodeStatus:
     state: State = State.WAITING
     records: dict[str, int] = field(default_factory=dict)
     error: str | None = None
+    #: Where the node was declared: file and line.
+    site: str | None = None
 
 
 class ThreadControl:
@@ -76,7 +79,8 @@ class Pipeline:
     def _node(self, name: str, inputs: tuple[str, ...]) -> NodeStatus:
         if name in self.nodes:
             raise E.Other(f"node `{name}` already exists")
-        status = self.nodes[name] = NodeStatus(name, inputs)
+        caller = inspect.stack()[2]
+        status = self.nodes[name] = NodeStatus(name, inputs, site=f"{caller.filename}:{caller.lineno}")
         self.edges += [(i, name) for i in inputs]
         return status
 
@@ -108,6 +112,7 @@ class Pipeline:
                     status.records[port] = o.get.get("records", 0) if _ready(o) else 0
             except Exception as cause:
                 status.state, status.error = State.ERROR, str(cause)
+                cause.add_note(f"in node `{status.name}`" + (f", declared at {status.site}" if status.site else ""))
                 failed.append(cause)
 
         regular = [threading.Thread(target=guard, args=(s, b, seen)) for s, b, seen in self._sinks]
@@ -134,12 +139,16 @@ def _ready(observation: Observation) -> bool:
     return getattr(observation, "_jo", None) is not None and observation._jo.future().isCompleted()
 
 
-def monitor(path: str = "monitor.csv", every: float = 1.0) -> Callable[[ThreadControl], None]:
-    """A background task that appends the driver's memory to a CSV file once a period."""
+def monitor(path: str = "monitor.csv", every: float = 1.0, spark: Any = None) -> Callable[[ThreadControl], None]:
+    """A background task that writes memory to a CSV file once a period; the file starts anew with each run.
+
+    Resident and swapped memory are the driver's Python; ``memory_object`` and ``memory_wrapped`` are the heap that the JVM of ``spark``
+    uses and has reserved (0 without a session).
+    """
 
     def body(control: ThreadControl) -> None:
-        with open(path, "a") as out:
-            out.write("Timestamp,memory_rss,memory_swap\n")
+        with open(path, "w") as out:
+            out.write("Timestamp,memory_rss,memory_swap,memory_object,memory_wrapped\n")
             while True:
                 held = dict.fromkeys(("VmRSS", "VmSwap"), 0)
                 with open("/proc/self/status") as status:
@@ -147,7 +156,11 @@ def monitor(path: str = "monitor.csv", every: float = 1.0) -> Callable[[ThreadCo
                         key, _, rest = line.partition(":")
                         if key in held:
                             held[key] = int(rest.split()[0]) * 1024
-                out.write(f"{time.time():.0f},{held['VmRSS']},{held['VmSwap']}\n")
+                heap = (0, 0)
+                if spark is not None:
+                    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+                    heap = (runtime.totalMemory() - runtime.freeMemory(), runtime.totalMemory())
+                out.write(f"{time.time():.0f},{held['VmRSS']},{held['VmSwap']},{heap[0]},{heap[1]}\n")
                 out.flush()
                 if control.wait_until_interrupted(every):
                     return

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import errors as E
-from ..operators.mapping import declare
+from ..operators.mapping import declare, default_value
 from ..stream import Facts, Stream, schema_of
 
 Fields = Sequence[tuple[str, Any]]
@@ -30,12 +30,32 @@ def emit(spark: SparkSession, fields: Fields, body: Callable[[], Iterable[tuple]
     if isinstance(body, DataFrame):
         if len(body.columns) != len(schema):
             raise E.InvalidFieldType(f"{len(body.columns)} columns for {len(schema)} declared fields")
-        df = body.toDF(*schema.names).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        df = declared(body.toDF(*schema.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]), schema)
     else:
         df = spark.createDataFrame(list(body()), schema)
     return declare(Stream(df, Facts(), name), order_fields, distinct_fields)
 
 
+def declared(df: DataFrame, schema: T.StructType, checked: Sequence[Any] = ()) -> DataFrame:
+    """``df`` with the declared not-null fields not null: rows are observed as they pass, and a null in such a field fails the run.
+
+    ``checked`` are further columns to compute for every row, so that pruning can't skip a value that doesn't fit.
+    """
+    strict = [f for f in schema if not f.nullable]
+    checks = [F.sum(F.when(F.col(f"`{f.name}`").isNull(), F.raise_error(F.lit(f"empty value for field `{f.name}`"))).cast("int")).alias(f"none_{i}") for i, f in enumerate(strict)]
+    checks += [F.count(c).alias(f"checked_{i}") for i, c in enumerate(checked)]
+    if checks:
+        df = df.observe(f"declared_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *checks)
+    return df.select(*[(F.col(f"`{f.name}`") if f.nullable else _filled(f)).alias(f.name) for f in schema])
+
+
+def _filled(f: T.StructField) -> Any:
+    try:
+        return F.coalesce(F.col(f"`{f.name}`"), default_value(f.dataType))
+    except E.InvalidFieldType:  # a type without a default stays as it is
+        return F.col(f"`{f.name}`")
+
+
 def produce(spark: SparkSession, fields: Fields, body: Callable[[Callable[[tuple], None]], None], order_fields: Iterable = (), distinct_fields: Iterable[str] = (), name: str = "produce") -> Stream:
     """A source from a function that calls ``send(record)`` for each record."""
     rows: list[tuple] = []
@@ -43,10 +63,12 @@ def produce(spark: SparkSession, fields: Fields, body: Callable[[Callable[[tuple
     return emit(spark, fields, lambda: rows, order_fields, distinct_fields, name)
 
 
-def read_csv(spark: SparkSession, input_file: str, fields: Fields, order_fields: Iterable = (), distinct_fields: Iterable[str] = (), has_headers: bool = False) -> Stream:
-    """A typed CSV scan.  A header must match the declared names exactly and in order; a row that doesn't fit fails the run.
+def read_csv(spark: SparkSession, input_file: str, fields: Fields, order_fields: Iterable = (), distinct_fields: Iterable[str] = (), has_headers: bool = False, multi_line: bool = False) -> Stream:
+    """A typed CSV scan.  A header must match the declared names exactly and in order; a row that doesn't fit fails the run,
+    whichever columns are used later.
 
-    An empty value is the empty string of a not-null string field and null of a nullable one.
+    An empty value is the empty string of a not-null string field and null of a nullable one.  Files are split among tasks;
+    with ``multi_line`` values may hold line breaks, and a file is read by one task.
     """
     schema = schema_of(fields)
     if has_headers:
@@ -56,18 +78,10 @@ def read_csv(spark: SparkSession, input_file: str, fields: Fields, order_fields:
                 raise E.Other(f"expected header {schema.names}, found {head}")
     open_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     reader = spark.read.schema(open_schema).option("header", has_headers).option("enforceSchema", False).option("mode", "FAILFAST")
-    df = reader.option("escape", '"').option("multiLine", True).option("nullValue", "").csv(input_file)
-    checks, cols = [], []
-    for f in schema:
-        c = F.col(f"`{f.name}`")
-        if not f.nullable and isinstance(f.dataType, T.StringType):
-            c = F.coalesce(c, F.lit(""))
-        elif not f.nullable:
-            checks.append(F.sum(F.when(c.isNull(), F.raise_error(F.lit(f"empty value for field `{f.name}`"))).cast("int")).alias(f"none_{f.name}"))
-        cols.append(c.alias(f.name))
-    if checks:
-        df = df.observe(f"csv_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *checks)
-    return declare(Stream(df.select(*cols), Facts(), "read_csv"), order_fields, distinct_fields)
+    df = reader.option("escape", '"').option("multiLine", multi_line).option("nullValue", "").csv(input_file)
+    filled = [F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if not f.nullable and isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in schema]
+    df = declared(df.select(*filled), schema, [F.col(f"`{f.name}`") for f in schema])
+    return declare(Stream(df, Facts(), "read_csv"), order_fields, distinct_fields)
 
 
 def write_csv(stream: Stream, output_file: str, has_headers: bool = False, single: bool = True) -> None:
@@ -124,17 +138,27 @@ def walk_commits(spark: SparkSession, repository: str, fields: Sequence[str], pu
             raise E.FieldNotFound(f"commits have no field `{f}`")
         if f in fields[:n]:
             raise E.FieldAlreadyExistsInStream(f"field `{f}` already exists in stream")
-    layout = "%x1f".join(COMMIT_FIELDS[f][1] for f in fields) + "%x1e"
+    # Fields end with NUL, which no commit can hold; every commit has as many as there are fields.
+    layout = "%x00".join(COMMIT_FIELDS[f][1] for f in fields)
 
-    def rows() -> Iterator[tuple]:
-        command = ["git", "-C", repository, "log", f"--format={layout}", *pushes, *[f"^{h}" for h in hides]]
-        done = subprocess.run(command, capture_output=True, text=True, errors="replace")
+    def git(*command: str) -> bytes:
+        done = subprocess.run(["git", "-C", repository, *command], capture_output=True)
         if done.returncode:
-            raise E.Other(done.stderr.strip())
-        for entry in done.stdout.split("\x1e"):
-            entry = entry.removeprefix("\n")
-            if entry:
-                yield tuple(_commit_value(f, v) for f, v in zip(fields, entry.split("\x1f"), strict=True))
+            raise E.Other(done.stderr.decode(errors="replace").strip())
+        return done.stdout
+
+    def resolved(names: Sequence[str]) -> list[str]:
+        """Revisions as object names: nothing that is passed on can be taken for an option."""
+        return [git("rev-parse", "--verify", "--quiet", "--end-of-options", f"{n}^{{commit}}").decode().strip() for n in names]
+
+    def rows() -> Iterator[tuple]:
+        starts, ends = resolved(pushes), resolved(hides)
+        if not starts:
+            return
+        out = git("log", "-z", "--encoding=UTF-8", f"--format=tformat:{layout}", *starts, *[f"^{h}" for h in ends])
+        values = out.decode(errors="replace").split("\0")[:-1]
+        for at in range(0, len(values), len(fields)):
+            yield tuple(_commit_value(f, v) for f, v in zip(fields, values[at : at + len(fields)], strict=True))
 
     return emit(spark, [(f, COMMIT_FIELDS[f][0]) for f in fields], rows, name="walk_commits")
 

@@ -115,6 +115,63 @@ def test_dedup_positional(spark):
     assert sorted(map(str, C.dedup(C.sort(c, ["k"]), positional=True).df.collect())) == ["Row(k=1, v=None)", "Row(k=2, v='x')", "Row(k=3, v=None)"]
 
 
+def test_dedup_of_rows_that_stand_apart(spark):
+    rows = [(i, v) for i, v in enumerate("aabbbacca")]
+    s = C.sort(emit(spark, [("i", "i32"), ("v", "String")], lambda: rows), ["i"])
+    assert sorted(r.v for r in C.dedup(s, positional=True, leaving=["i"]).df.collect()) == list("aaabc")
+    with pytest.raises(E.ExpectedMinimalOrder):
+        C.dedup(s, leaving=["i"])
+
+
+def test_sub_group_is_linear(spark):
+    import time
+
+    def took(n):
+        s = C.sort(emit(spark, [("k", "i32"), ("v", "i32")], spark.range(n).selectExpr("id", "id")), ["k"])
+        g = C.sub_group(C.group(s, [], "g"), ["g"], ["k"], "h")
+        began = time.perf_counter()
+        assert g.df.selectExpr("size(g)").first()[0] == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 10  # 43 s at half of it while starts were evaluated again for each start
+
+
+def test_declared_fields_of_frames_are_not_null(spark):
+    df = spark.createDataFrame([(1, 2), (2, None)], "a int, b int")
+    s = emit(spark, [("a", "i32"), ("b", "i32")], df.where("a = 1"))
+    assert not s.df.schema["b"].nullable
+    with pytest.raises(Exception, match="empty value for field `b`"):
+        emit(spark, [("a", "i32"), ("b", "i32")], df).df.select("a").collect()
+
+
+def test_csv_bad_row_is_seen_under_pruning(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,1\nb,x\n")
+    s = read_csv(spark, str(tmp_path / "bad.csv"), [("s", "String"), ("n", "Option<i32>")])
+    for look in (lambda: s.df.count(), lambda: s.df.select("s").collect()):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            look()
+    (tmp_path / "lines.csv").write_text('"a\nb",1\n')
+    assert read_csv(spark, str(tmp_path / "lines.csv"), [("s", "String"), ("n", "i32")], multi_line=True).df.collect() == [("a\nb", 1)]
+
+
+def test_commits_of_odd_messages(spark, tmp_path):
+    import subprocess
+
+    def git(*a):
+        subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+
+    git("init", "-q")
+    git("-c", "user.name=A", "-c", "user.email=a@b", "commit", "--allow-empty", "-q", "-m", "one\x1ftwo\x1ethree")
+    git("-c", "user.name=A", "-c", "user.email=a@b", "commit", "--allow-empty", "-q", "--cleanup=verbatim", "-m", "s\n\nline\r\nnext")
+    rows = walk_commits(spark, str(tmp_path), ["summary", "message"]).df.collect()
+    assert rows[1].summary == "one\x1ftwo\x1ethree" and "line\r\nnext" in rows[0].message
+    with pytest.raises(E.Other):
+        walk_commits(spark, str(tmp_path), ["id"], ["HEAD", f"--output={tmp_path}/x"])
+    assert not (tmp_path / "x").exists()
+    assert walk_commits(spark, str(tmp_path), ["id"], [], []).df.count() == 0
+
+
 def test_join_defaults(spark):
     a = emit(spark, [("num", "Option<i8>")], lambda: [(1,), (2,), (None,)], ["num"], ["num"])
     b = emit(spark, [("other", "Option<i8>"), ("n", "i32"), ("t", "String"), ("o", "Option<i32>")], lambda: [(2, 7, "x", None), (None, 8, "y", 3), (9, 9, "z", 9)], ["other"], ["other"])

@@ -56,16 +56,17 @@ def test_pipeline(spark, tmp_path):
     got = p.run()
     assert got["sum"] == 3 and got["list"] == [1, 2]
     assert all(n.state is State.SUCCESS for n in p.nodes.values())
-    assert (tmp_path / "m.csv").read_text().startswith("Timestamp,")
+    assert (tmp_path / "m.csv").read_text().startswith("Timestamp,memory_rss,memory_swap,memory_object,memory_wrapped\n")
     assert '"numbers" -> "list"' in p.to_dot()
 
 
 def test_pipeline_error(spark):
     p = Pipeline()
     p.sink("bad", lambda a: 1 / 0, emit(spark, [("v", "i32")], lambda: []))
-    with pytest.raises(ZeroDivisionError):
+    with pytest.raises(ZeroDivisionError) as found:
         p.run()
-    assert p.nodes["bad"].state is State.ERROR
+    assert "in node `bad`" in found.value.__notes__[0]
+    assert p.nodes["bad"].state is State.ERROR and "test_plans.py" in p.nodes["bad"].site
 
 
 def test_unbounded(spark, tmp_path):
