@@ -3,7 +3,8 @@
 1. One Arrow pass hashes every whole text into its set of k-word shingles.  Equal sets form
    a class.  For the links between different sets, sizes are cut into slots; in a slot of
    largest size U two linked sets differ in at most d = 2U(den-num)/(den+num) shingles, so of
-   d+1 ranges of the hash space at least one holds exactly the same shingles in both.  Each
+   d+1 ranges of the hash space at least one holds exactly the same shingles in both.  With more ranges
+   than that a set keeps the d+1 fullest: the prefix filter, as several must agree.  Each
    range's content is hashed to a key.  Keys travel as packed arrays, one row a batch and
    stretch of the key space, and each partition's stretches are folded one after the other, in the order
    that Spark sorts (and spills) them: of a key one set is kept, so a key that a
@@ -66,7 +67,10 @@ def _slots() -> np.ndarray:
 def range_keys(s: np.ndarray, slot: int, d: int) -> np.ndarray:
     """Keys of the ranges of a sorted set, the slot in the low byte; equal content of a range gives equal keys.
 
-    Two sets with at most ``d`` differences agree in ``m - d`` ranges: a set with fewer empty ones needs no key for these.
+    Two sets with at most ``d`` differences agree in ``m - d`` ranges, so in ``f - d`` full ones, ``f`` the larger number of
+    full ranges of the two.  Each set may thus leave out its last ``f - d - 1`` in an order that depends on content alone: the
+    first range that both share stays.  Ranges of few shingles go last, as unlike sets agree in these most often.  A set of at
+    most ``d`` full ranges gives all keys, those of empty ranges too.
     """
     m = d + 1 + SPARE + int(STRETCH * (d + 1))
     edges = ((np.arange(1, m, dtype=_U64) << _U64(32)) + _U64(m - 1)) // _U64(m) << _U64(32)
@@ -75,8 +79,8 @@ def range_keys(s: np.ndarray, slot: int, d: int) -> np.ndarray:
     count = np.diff(at)
     keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=_U64) + _U64(slot << 40)))
     keys = keys & ~_U64(255) | _U64(slot)
-    full = count > 0
-    return keys if int(full.sum()) <= d else keys[full]
+    full = np.flatnonzero(count)
+    return keys if len(full) <= d else keys[full[np.lexsort((keys[full], -count[full]))[: d + 1]]]
 
 
 def packed(rows: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:

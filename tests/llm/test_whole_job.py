@@ -8,7 +8,7 @@ import pytest
 from strandflow.llm import ngram_join, toxicity
 from strandflow.llm.license_texts import TEXTS
 from strandflow.llm.licenses import BASE, LEAST, TEMPLATES, _index, plain, scan_licenses
-from strandflow.llm.ngram_join import keep_one, link_components
+from strandflow.llm.ngram_join import SPARE, STRETCH, keep_one, link_components, range_keys
 from strandflow.llm.sigtree import bitmap, candidates
 
 
@@ -100,6 +100,21 @@ def test_license_score_does_not_hang_on_unrelated_words(spark):
     assert LEAST < score[at] == score[at + 1] < 1
 
 
+def test_linked_sets_share_a_key():
+    """Sets of at most d differences share a range's key in their slot, whatever their sizes and empty ranges."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 9, 20, 60, 300):
+        for _ in range(60):
+            d = int(rng.integers(0, max(1, n // 4) + 1))
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            gone = int(rng.integers(0, min(d, len(a) - 1) + 1))
+            b = np.unique(np.concatenate((a[gone:] if rng.random() < 0.5 else np.delete(a, rng.choice(len(a), gone, replace=False)), rng.integers(0, 2**63, d - gone, dtype=np.uint64))))
+            left, right = range_keys(a, 7, d), range_keys(b, 7, d)
+            assert len(np.intersect1d(left, right)), (n, d)
+            m = d + 1 + SPARE + int(STRETCH * (d + 1))
+            assert len(left) in (d + 1, m)
+
+
 def test_candidates_of_bitmaps():
     rng = random.Random(3)
     sets, known = [], []
