@@ -115,6 +115,34 @@ def test_linked_sets_share_a_key():
             assert len(left) in (d + 1, m)
 
 
+def test_linked_sets_share_a_key_of_common_shingles():
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
+    common = ngram_join.Common(known[::-1], np.arange(4, 4 + len(known)))
+    assert (common.levels(known) > 0).all() and not common.levels(known + np.uint64(1)).any()
+    for n in (4, 20, 60, 300):
+        for _ in range(60):
+            d = int(rng.integers(0, n // 4 + 1))
+            a = np.unique(np.concatenate((rng.choice(known, n // 2), rng.integers(0, 2**63, n // 2, dtype=np.uint64))))
+            gone = int(rng.integers(0, min(d, len(a) - 1) + 1))
+            b = np.unique(np.concatenate((np.delete(a, rng.choice(len(a), gone, replace=False)), rng.choice(known, d - gone))))
+            left, right = (range_keys(x, 7, d, common.levels(x)) for x in (a, b))
+            assert len(np.intersect1d(left, right)), (n, d)
+
+
+def test_common_lines_join_no_candidates(spark):
+    """Most unlike texts that repeat the same few lines stay out of the trees, and near copies among them are found."""
+    rng = random.Random(8)
+    lines = [_prose(f"line{n}w", 12) for n in range(6)]
+    texts = ["\n".join([_prose(f"own{n}w", 120), *rng.sample(lines, 4)]) for n in range(400)]
+    texts += [f"tail {t} end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    figures = {}
+    got = {r.doc_id: r.component_id for r in link_components(docs, 5, 80, 100, figures=figures).collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i in range(420)}
+    assert figures["tested"] < 30_000, figures
+
+
 def test_candidates_of_bitmaps():
     rng = random.Random(3)
     sets, known = [], []
