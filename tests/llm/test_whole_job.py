@@ -242,3 +242,33 @@ def test_number_of_links(spark):
     want = sorted(str((d, n)) for (d, _), n in zip(rows, links, strict=True))
     assert sorted(str((r.doc_id, r.n_links)) for r in got for _ in range(r.copies)) == want
     assert len(set(links)) > 5
+
+
+def test_hash_pass_memory():
+    """Hashing and dealing out keys takes little memory beside the keys themselves; the keys are those of each set alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) for _ in range(1600)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "th", "text"])
+    run = ngram_join._hash_pass(5, 80, 100, 204, (np.arange(8, dtype=np.uint64), np.full(8, 5)))
+    found, rows = [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            rows += out.num_rows - out.column("n").null_count
+            found += [np.frombuffer(x, np.uint64).reshape(-1, 2)[:, 0].sum(dtype=np.uint64) for x in out.column("keys").to_pylist() if x]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = np.uint64(0)
+    bounds = ngram_join._slots()
+    for s in ngram_join.shingle_sets([t.encode() for t in texts], 5):
+        for slot in range(int(np.searchsorted(bounds, len(s), "right")) - 1, int(np.searchsorted(bounds, len(s) * 100 // 80, "right"))):
+            if d := 2 * (int(bounds[slot + 1]) - 1) * 20 // 180:
+                want += range_keys(s, slot, d, np.zeros(len(s), np.int8)).sum(dtype=np.uint64)
+    assert rows == len(texts)
+    assert np.sum(found, dtype=np.uint64) == want
+    assert most < 60_000_000
