@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batches, decoded, released
+from .arrow import batches, decoded, give_back, released
 from .workspace import bounded_broadcast, shared_dir
 
 DECAY, SPAN = 0.7, 6
@@ -371,7 +371,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
     del pool
     words = [np.sort(place[numbered[i]]) for i in order.tolist()]
     share = [whole.get(t, 0) / max(1, toxic.count(t)) for t in (0, 1)]
-    return fit(names, words, toxic, (share[0], share[1]))
+    give_back()  # the sample's Arrow columns go before the machine is fitted, the sample itself after it
+    try:
+        return fit(names, words, toxic, (share[0], share[1]))
+    finally:
+        del names, words, numbered
+        give_back()
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

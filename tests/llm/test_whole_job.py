@@ -8,11 +8,13 @@ import pytest
 from tokenizers import Tokenizer
 
 from strandflow.llm import ngram_join, toxicity
+from strandflow.llm.components import components
 from strandflow.llm.license_texts import TEXTS
 from strandflow.llm.licenses import BASE, LEAST, TEMPLATES, _index, plain, scan_licenses
 from strandflow.llm.ngram_join import SPARE, STRETCH, keep_one, link_components, range_keys
 from strandflow.llm.sigtree import bitmap, candidates
 from strandflow.llm.token_output import WordEncoder
+from strandflow.llm.workspace import LEAST_PARTS
 
 
 def _prose(tag, n=60):
@@ -272,3 +274,22 @@ def test_hash_pass_memory():
     assert rows == len(texts)
     assert np.sum(found, dtype=np.uint64) == want
     assert most < 60_000_000
+
+
+def test_small_tables_of_the_join_take_few_partitions(spark):
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "48")
+    spark.conf.set(names[1], "false")
+    try:
+        edges = spark.createDataFrame([(i, 0) for i in range(1, 40)] + [(100, 102), (102, 101)], "a long, b long")
+        found = components(edges, 41)
+        assert found.rdd.getNumPartitions() <= LEAST_PARTS
+        assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(40)} | {100: 100, 101: 100, 102: 100}
+        rows = [(i, _prose(f"w{i % 7}_") + " tail" * (i >= 7)) for i in range(14)] + [(99, None)]
+        linked = link_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, den=100)
+        assert linked.rdd.getNumPartitions() <= LEAST_PARTS
+        assert {r.doc_id: r.component_id for r in linked.collect()} == {i: i % 7 for i in range(14)} | {99: 99}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
