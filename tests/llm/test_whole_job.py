@@ -1,17 +1,21 @@
 """Small cases in which an operator once did less than the whole job."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandflow.llm import ngram_join, toxicity
+from strandflow.llm import ngram_join, repeats, toxicity
 from strandflow.llm.components import components
 from strandflow.llm.license_texts import TEXTS
 from strandflow.llm.licenses import BASE, LEAST, TEMPLATES, _index, plain, scan_licenses
 from strandflow.llm.ngram_join import SPARE, STRETCH, keep_one, link_components, range_keys
+from strandflow.llm.repeats import LENGTH, remove_repeats, runs_of
 from strandflow.llm.sigtree import bitmap, candidates
 from strandflow.llm.token_output import WordEncoder
 from strandflow.llm.workspace import LEAST_PARTS
@@ -293,3 +297,37 @@ def test_small_tables_of_the_join_take_few_partitions(spark):
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("stretch_bytes", [None, 500])
+def test_runs_of_many_small_tasks_travel_in_few_rows(spark, monkeypatch, stretch_bytes):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    line = text(600)
+    texts = [text(1500) for _ in range(24)] + [text(300) + line + text(i) for i in range(10)] + [line[i : i + LENGTH] for i in range(3)]
+    texts += [texts[0], texts[0][:800] + text(200), "ab" * 400, None, ""]
+    if stretch_bytes:  # so little text makes a stretch only here
+        monkeypatch.setattr(repeats, "STRETCHBYTES", stretch_bytes)
+    dealt, frame = [], type(spark.range(0))
+    usual = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: (dealt.append(self), usual(self, *by))[1])
+    tasks, parts = 8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = remove_repeats(usual(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tasks).checkpoint())
+    sent = next(df for df in dealt if "runs" in df.columns).select("part", "stretch", F.octet_length("runs").alias("size")).collect()
+    data = [(t or "").encode() for t in texts]
+    size = sum(len(b) for b in data if len(b) >= LENGTH)
+    stretches = -(-size // (parts * stretch_bytes)) if stretch_bytes else 1
+    assert len(sent) <= tasks * parts * stretches
+    assert len({r.stretch for r in sent}) == stretches
+    assert sum(r.size for r in sent) >= 40 * sum(len(runs_of(b)) for b in set(data))  # a text of two tasks goes twice
+    seen = Counter(b[i : i + LENGTH] for b in data for i in range(len(b) - LENGTH + 1))
+    want = []
+    for d, b in enumerate(data):
+        gone = bytearray(len(b) + 1)
+        for i in range(len(b) - LENGTH + 1):
+            if seen[b[i : i + LENGTH]] > 1:
+                gone[i : i + LENGTH] = b"\1" * LENGTH
+        kept = bytes(x for x, off in zip(b, gone, strict=False) if not off)
+        want.append((d, len(b), sum(gone), sum(gone[i] > gone[i - 1] for i in range(len(b))), hashlib.sha256(kept).hexdigest()))
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want
+    assert sum(w[2] > 0 for w in want) >= 14
